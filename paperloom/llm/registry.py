@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .op7_decontamination import op7_decontamination
 from .op8_packing import op8_packing
 
 
 def queries() -> dict:
-    return {"op8_packing": op8_packing}
+    return {"op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
