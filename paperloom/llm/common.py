@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def input_partitions(df: DataFrame, target_bytes: int) -> int:
     """Partitions for a shuffle of about df's size, from Catalyst's own size estimate; never under the session's setting."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, size // target_bytes + 1))
 
 

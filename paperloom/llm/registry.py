@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .op5_ngram_join import op5_ngram_join
 from .op7_decontamination import op7_decontamination
 from .op8_packing import op8_packing
 
 
 def queries() -> dict:
-    return {"op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
+    return {"op5_ngram_join": op5_ngram_join, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
