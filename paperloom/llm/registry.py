@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op10_warc
 from .op5_ngram_join import op5_ngram_join
 from .op7_decontamination import op7_decontamination
 from .op8_packing import op8_packing
@@ -9,8 +10,14 @@ from .op9_language_id import op9_language_id
 
 
 def queries() -> dict:
-    return {"op5_ngram_join": op5_ngram_join, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
+    return {
+        "op5_ngram_join": op5_ngram_join,
+        "op7_decontamination": op7_decontamination,
+        "op8_packing": op8_packing,
+        "op9_language_id": op9_language_id,
+        "op10_warc": op10_warc.op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": op10_warc.ORACLE}
