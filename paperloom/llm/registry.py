@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op10_warc
 from .op5_ngram_join import op5_ngram_join
+from .op6_html_extraction import op6_html_extraction
 from .op7_decontamination import op7_decontamination
 from .op8_packing import op8_packing
 from .op9_language_id import op9_language_id
@@ -12,6 +13,7 @@ from .op9_language_id import op9_language_id
 def queries() -> dict:
     return {
         "op5_ngram_join": op5_ngram_join,
+        "op6_html_extraction": op6_html_extraction,
         "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
         "op9_language_id": op9_language_id,
