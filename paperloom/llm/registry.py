@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op10_warc
+from .op1_additive_ann import op1_additive_ann
 from .op5_ngram_join import op5_ngram_join
 from .op6_html_extraction import op6_html_extraction
 from .op7_decontamination import op7_decontamination
@@ -12,6 +13,7 @@ from .op9_language_id import op9_language_id
 
 def queries() -> dict:
     return {
+        "op1_additive_ann": op1_additive_ann,
         "op5_ngram_join": op5_ngram_join,
         "op6_html_extraction": op6_html_extraction,
         "op7_decontamination": op7_decontamination,
