@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op10_warc
+from . import op2_sharding, op10_warc
 from .op1_additive_ann import op1_additive_ann
 from .op5_ngram_join import op5_ngram_join
 from .op6_html_extraction import op6_html_extraction
@@ -14,6 +14,7 @@ from .op9_language_id import op9_language_id
 def queries() -> dict:
     return {
         "op1_additive_ann": op1_additive_ann,
+        "op2_sharding": op2_sharding.op2_sharding,
         "op5_ngram_join": op5_ngram_join,
         "op6_html_extraction": op6_html_extraction,
         "op7_decontamination": op7_decontamination,
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": op10_warc.ORACLE}
+    return {"op2_sharding": op2_sharding.oracle(), "op10_warc": op10_warc.ORACLE}
