@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op2_sharding, op10_warc
 from .op1_additive_ann import op1_additive_ann
+from .op3_contextual_pii import op3_contextual_pii
 from .op4_token_matrices import op4_token_matrices
 from .op5_ngram_join import op5_ngram_join
 from .op6_html_extraction import op6_html_extraction
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_additive_ann": op1_additive_ann,
         "op2_sharding": op2_sharding.op2_sharding,
+        "op3_contextual_pii": op3_contextual_pii,
         "op4_token_matrices": op4_token_matrices,
         "op5_ngram_join": op5_ngram_join,
         "op6_html_extraction": op6_html_extraction,
