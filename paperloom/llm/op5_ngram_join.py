@@ -256,10 +256,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
         return profile.join(full.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
         )
-    return (
-        profile.join(reps.select("set_key", "rep"), "set_key", "left")
-        .join(by_rep, "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    classes = materialise(reps.join(by_rep, "rep").select("set_key", "root"), "op5-classes")
+    return profile.join(classes, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
     )
 
 
@@ -303,11 +302,14 @@ def _large_groups(large: DataFrame, n: int, percent: int, partitions: int) -> Da
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of repeated rows one
-    stays. Rows with a null doc_id link with nothing and all stay."""
-    kept = ngram_components(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return ids.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of rows that repeat a
+    doc_id one stays. Rows with a null doc_id link with nothing and all stay."""
+    classes = ngram_components(docs, n, percent)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
