@@ -3,7 +3,7 @@
 Writing: a payload goes out as an HTTP response in chunked transfer framing. A block longer than ``SEGMENT`` bytes
 is split: the first record keeps the type, the others are ``continuation`` records with the origin's id and a
 segment number, and the last one states the total length. Spark's own text writer does the output with the end of
-a record as its line separator, so files are committed like any other table on any file system, and a lost task
+a record as its line separator and gzip, so files are committed like any other table on any file system, and a lost task
 leaves nothing behind.
 
 Reading: files are parsed record by record; segments are grouped by the id of their origin, ordered by number,
@@ -12,6 +12,7 @@ checked against the total length and joined, and the chunks are decoded. Records
 
 from __future__ import annotations
 
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
@@ -124,11 +125,13 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     refers = F.when(F.coalesce(F.col("page_id") < F.col("keep"), F.col("keep").isNotNull()), F.col("keep"))
     shaped = joined.select("number", "page_id", "url", "payload", "digest", refers.alias("refers_to"))
     out = shaped.mapInArrow(lambda it: _render(it, segment), "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record; a ValueError where the data break off."""
+    """(header fields in lower case, block) of each record of a plain or gzip archive; a ValueError where the data
+    break off."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
