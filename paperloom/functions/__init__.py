@@ -1 +1 @@
-
+"""Column functions: text, dates, amounts and phone numbers."""

@@ -1 +1 @@
-
+"""Files as input: admission, page images, and text recognition."""

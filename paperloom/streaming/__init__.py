@@ -1 +1 @@
-
+"""Structured Streaming around the same operators."""
