@@ -70,14 +70,16 @@ def merged(primary: list[dict], secondary: list[dict]) -> list[dict]:
 _SMALL = "array<struct<value:string,confidence:double,position:struct<start:int,end:int>>>"
 
 
-@F.pandas_udf(_SMALL)
-def merge_lists(primary: pd.Series, secondary: pd.Series) -> pd.Series:
+def merge_lists(primary: Column, secondary: Column) -> Column:
     """merged() for each row: the fold depends on the order, so it runs row by row in Arrow batches, without a shuffle."""
 
     def plain(fields) -> list[dict]:
         return [] if fields is None else [{"value": f["value"], "confidence": f["confidence"], "position": f["position"]} for f in fields]
 
-    return pd.Series([merged(plain(a), plain(b)) for a, b in zip(primary, secondary, strict=True)])
+    def rows(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([merged(plain(x), plain(y)) for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(rows, _SMALL)(primary, secondary)
 
 
 def merge_columns(df: DataFrame, primary: str, secondary: str, into: str) -> DataFrame:

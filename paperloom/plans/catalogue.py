@@ -1,6 +1,513 @@
-"""Every registered query of the engine's own operators, with its SQL oracle."""
+"""Every registered query of the engine's own operators, with its SQL oracle.
+
+A query over documents reads the whole table; the others read documents rendered from the relational tables, whose
+columns are the expected values.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.amounts import correct_amount
+from ..functions.dates import correct_date
+from ..functions.phones import correct_phone, valid_phone
+from ..functions.text import let
+from ..operators import correct, entities, export, fields, invoice, merge, receipt, resume, store, validate
+from ..operators.classify import RULES, classify, label
+from ..schema import CORRECTIONS, DOCUMENTS, EXTRACTIONS, EngineOptions
+from ..sources import files
+from . import pipeline, render
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+OPTIONS = EngineOptions()
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spans(df: DataFrame, key: str, found: Column, *more: str) -> DataFrame:
+    rows = df.select(key, F.explode(found).alias("f"))
+    return rows.select(key, "f.value", F.col("f.position.start").alias("start_at"), F.col("f.position.end").alias("end_at"), *more)
+
+
+def _span_sql(table: str, key: str, column: str, pattern: str, group: int = 0, flags: str = "") -> str:
+    p, option = pattern.replace("'", "''"), f", '{flags}'" if flags else ""
+    guard = f"regexp_matches({column}, '{p}'{option})"
+    return f"""
+WITH h AS (
+  SELECT {key}, regexp_extract_all({column}, '{p}', 0{option}) AS hits, regexp_extract_all({column}, '{p}', {group}{option}) AS vals,
+         regexp_split_to_array({column}, '{p}'{option}) AS gaps FROM {table} WHERE {guard}
+), i AS (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM h), r AS (
+  SELECT {key}, vals[n] AS value, hits[n] AS hit,
+         CAST(list_sum(list_transform(gaps[1:n], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:n-1], lambda g: length(g))), 0) AS INTEGER) AS start_at
+  FROM i
+)
+"""
+
+
+@query(_span_sql("documents", "doc_id", "text", fields.EMAIL) + "SELECT doc_id, value, start_at, start_at + CAST(length(hit) AS INTEGER) AS end_at FROM r")
+def emails(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), "doc_id", fields.emails(F.col("text")))
+
+
+@query(_span_sql("documents", "doc_id", "text", fields.PHONE) + "SELECT doc_id, trim(value) AS value, start_at, start_at + CAST(length(hit) AS INTEGER) AS end_at FROM r")
+def phones(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), "doc_id", fields.phone_numbers(F.col("text")))
+
+
+@query(
+    _span_sql("documents", "doc_id", "text", fields.AMOUNT, 1)
+    + """SELECT doc_id, CAST(replace(value, ',', '') AS DOUBLE) AS amount, start_at, start_at + CAST(length(hit) AS INTEGER) AS end_at,
+  CASE WHEN contains(value, '.') THEN 0.9 WHEN CAST(replace(value, ',', '') AS DOUBLE) > 1900 AND CAST(replace(value, ',', '') AS DOUBLE) < 2100 THEN 0.4 ELSE 0.8 END::DOUBLE AS confidence FROM r"""
+)
+def amounts(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(fields.amounts(F.col("text"))).alias("f"))
+    return rows.select("doc_id", F.col("f.num_value").alias("amount"), F.col("f.position.start").alias("start_at"), F.col("f.position.end").alias("end_at"), "f.confidence")
+
+
+@query(_span_sql("pages", "page_id", "url", fields.URL, flags="i") + "SELECT page_id, value, start_at, start_at + CAST(length(hit) AS INTEGER) AS end_at FROM r")
+def urls_from_pages(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir, "pages"), "page_id", fields.urls(F.col("url")))
+
+
+def _classify_sql(source: str) -> str:
+    def unicode_bounds(p: str) -> str:
+        body = label(p).replace(".", "\\.")
+        return ("(^|[^\\p{L}\\p{N}_])" + body + ("($|[^\\p{L}\\p{N}_])" if p.endswith("\\b") else "")).replace("'", "''")
+
+    values = ", ".join(f"('{kind}', {place}, '{unicode_bounds(p)}')" for place, (kind, ps) in enumerate(RULES.items()) for p in ps)
+    return f"""
+WITH rules(kind, place, p) AS (VALUES {values}), d AS ({source}),
+s AS (
+  SELECT id, kind, place, length(text) AS n, CAST(sum(CASE WHEN regexp_matches(lower(text), p) THEN 1 ELSE 0 END) AS DOUBLE) AS hits FROM d, rules GROUP BY ALL
+), b AS (
+  SELECT id, kind, place, hits, hits + CASE WHEN n < 300 AND kind = 'Business Card' AND hits > 0 THEN 1 WHEN n < 300 AND kind = 'Receipt' AND hits > 0 THEN 0.5
+    WHEN n > 1000 AND kind = 'Resume' AND hits > 2 THEN 2 ELSE 0 END AS score FROM s
+), t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS r FROM b), c AS (
+  SELECT id, CASE WHEN score > 0 THEN kind ELSE 'Unknown' END AS document_type, least(score / 4, 1.0)::DOUBLE AS confidence, CAST(hits AS INTEGER) AS n_rules FROM t WHERE r = 1
+)
+"""
+
+
+def _classified(df: DataFrame, key: str) -> DataFrame:
+    found = df.select(F.col(key).alias(key), classify(F.col("text")).alias("c"))
+    return found.select(key, "c.document_type", "c.confidence", F.size("c.matched_rules").alias("n_rules"))
+
+
+@query(_classify_sql("SELECT doc_id AS id, text FROM documents") + "SELECT id AS doc_id, document_type, confidence, n_rules FROM c")
+def classify_documents(spark, sf_dir):
+    return _classified(_docs(spark, sf_dir), "doc_id")
+
+
+@query(
+    _classify_sql("SELECT conv_id || ':' || turn AS id, text FROM conversations")
+    + "SELECT document_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_rules) AS BIGINT) AS rules FROM c GROUP BY document_type"
+)
+def classify_distribution(spark, sf_dir):
+    found = _classified(_docs(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id")
+    return found.groupBy("document_type").agg(F.count("*").alias("n"), F.sum("n_rules").cast("bigint").alias("rules"))
+
+
+_ORDERS = """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS qty, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem),
+s AS (SELECT l_orderkey, CAST(sum(amount) AS DECIMAL(18,2)) AS subtotal FROM l GROUP BY l_orderkey),
+o AS (SELECT o_orderkey AS doc_id, o_custkey, CAST(o_orderdate AS DATE) AS day, subtotal FROM orders JOIN s ON o_orderkey = l_orderkey)
+"""
+
+
+@query(_ORDERS + "SELECT 'invoice' AS rendered, 'Invoice' AS document_type, CAST(count(*) AS BIGINT) AS n FROM o UNION ALL SELECT 'receipt', 'Receipt', CAST(count(*) AS BIGINT) FROM o")
+def classify_rendered(spark, sf_dir):
+    both = render.invoices(spark, sf_dir).withColumn("rendered", F.lit("invoice")).unionByName(render.receipts(spark, sf_dir).withColumn("rendered", F.lit("receipt")))
+    return both.groupBy("rendered", classify(F.col("text"))["document_type"].alias("document_type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    _span_sql("documents", "doc_id", "text", fields.EMAIL)
+    + """SELECT doc_id, value, regexp_matches(value, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$')
+  AND split_part(value, '@', -1) NOT IN ('example.com', 'test.com') AS valid FROM r"""
+)
+def email_validity(spark, sf_dir):
+    return emails(spark, sf_dir).select("doc_id", "value", validate.validate_email(F.col("value")).alias("valid"))
+
+
+@query(
+    _span_sql("documents", "doc_id", "text", fields.PHONE)
+    + """, n AS (SELECT doc_id, trim(value) AS value, regexp_replace(trim(value), '[^0-9]', '', 'g') AS d, starts_with(trim(value), '+') AS plus FROM r),
+t AS (SELECT doc_id, value, CASE WHEN length(d) = 11 AND starts_with(d, '1') THEN d[2:] WHEN length(d) = 10 AND NOT plus THEN d END AS d FROM n)
+SELECT doc_id, value, CASE WHEN regexp_matches(d, '^[2-9][0-9]{2}[2-9][0-9]{6}$') AND NOT regexp_matches(d, '^.11|^555|^...[2-9]11') THEN '+1' || d END AS e164 FROM t"""
+)
+def phone_e164(spark, sf_dir):
+    return phones(spark, sf_dir).select("doc_id", "value", correct_phone(F.col("value")).alias("e164"))
+
+
+@query("SELECT o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM orders")
+def amount_correction(spark, sf_dir):
+    return render.mangled_amounts(spark, sf_dir).select("id", correct_amount(F.col("raw")).alias("amount"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_normalise(spark, sf_dir):
+    return render.mangled_dates(spark, sf_dir).select("id", correct_date(F.col("raw"), OPTIONS.year).alias("day"))
+
+
+@query(
+    _ORDERS
+    + """SELECT doc_id, 'INV-' || doc_id AS invoice_number, strftime(day, '%Y-%m-%d') AS invoice_date, strftime(day + 30, '%Y-%m-%d') AS due_date, 'PO-' || o_custkey AS po_number FROM o"""
+)
+def invoice_header(spark, sf_dir):
+    found = render.invoices(spark, sf_dir).select("doc_id", invoice.header(F.col("text"), OPTIONS).alias("h"))
+    return found.select("doc_id", *[F.col(f"h.{k}.value").alias(k) for k in ("invoice_number", "invoice_date", "due_date", "po_number")])
+
+
+@query(
+    _ORDERS
+    + """SELECT doc_id, 'Acme Supply Corp' AS vendor, 'Springfield, IL 62704' AS vendor_address, 'sales@acme.example.org' AS email, '(650) 253-0000' AS phone, 'Shelbyville, CA 90210' AS customer_address FROM o"""
+)
+def invoice_parties(spark, sf_dir):
+    found = render.invoices(spark, sf_dir).select("doc_id", invoice.parties(F.col("text"), OPTIONS).alias("p"))
+    paths = {"vendor": "vendor.name", "vendor_address": "vendor.address", "email": "vendor.email", "phone": "vendor.phone", "customer_address": "customer.address"}
+    return found.select("doc_id", *[F.col(f"p.{path}.value").alias(k) for k, path in paths.items()])
+
+
+@query(
+    _ORDERS
+    + """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, qty, amount) - 1 AS INTEGER) AS place,
+  'Widget-' || l_partkey AS description, CAST(qty AS VARCHAR) AS quantity, CAST(amount AS VARCHAR) AS unit_price, CAST(amount AS VARCHAR) AS total_amount
+FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+)
+def invoice_line_items(spark, sf_dir):
+    rows = render.invoices(spark, sf_dir).select("doc_id", F.posexplode(invoice.line_items(F.col("text"))).alias("place", "x"))
+    return rows.select("doc_id", "place", *[F.col(f"x.{k}.value").alias(k) for k in ("description", "quantity", "unit_price", "total_amount")])
+
+
+@query(_ORDERS + "SELECT doc_id, CAST(subtotal AS DOUBLE) AS subtotal, 10.0::DOUBLE AS tax, CAST(subtotal + 10 AS DOUBLE) AS total_amount, CAST(0 AS INTEGER) AS errors FROM o")
+def invoice_totals(spark, sf_dir):
+    text = F.col("text")
+    found = render.invoices(spark, sf_dir).select("doc_id", let(invoice.line_items(text), lambda items: invoice.totals(text, items)).alias("t"))
+    return found.select("doc_id", *[F.col(f"t.{k}.num_value").alias(k) for k in ("subtotal", "tax", "total_amount")], F.size("t.validation_errors").alias("errors"))
+
+
+@query(_ORDERS + "SELECT doc_id, 'Net 30' AS terms FROM o")
+def payment_terms(spark, sf_dir):
+    return render.invoices(spark, sf_dir).select("doc_id", invoice.payment_terms(F.col("text"))["term_description"]["value"].alias("terms"))
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY l_orderkey")
+def invoice_total_fallback(spark, sf_dir):
+    price = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    texts = _docs(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.collect_list(F.concat(F.lit("$"), price)), " and ").alias("text"))
+    return texts.select("doc_id", invoice.largest_amount(F.col("text"))["num_value"].alias("total"))
+
+
+@query(_ORDERS + "SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS errors FROM o")
+def line_item_check(spark, sf_dir):
+    text = F.col("text")
+    items = let(invoice.line_items(text), lambda items: invoice.totals(text, items)["validation_errors"])
+    return render.invoices(spark, sf_dir, off=True).select("doc_id", F.size(items).alias("errors"))
+
+
+@query(
+    _ORDERS
+    + """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, qty, amount) - 1 AS INTEGER) AS place,
+  'Gadget-' || l_partkey AS description, CAST(amount AS VARCHAR) AS total_price, '1' AS quantity FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+)
+def receipt_items(spark, sf_dir):
+    rows = render.receipts(spark, sf_dir).select("doc_id", F.posexplode(receipt.items(F.col("text"))).alias("place", "x"))
+    return rows.select("doc_id", "place", *[F.col(f"x.{k}.value").alias(k) for k in ("description", "total_price", "quantity")])
+
+
+@query(
+    _ORDERS
+    + """SELECT doc_id, 'SuperMart ' || o_custkey AS merchant, 'Anytown, USA 12345' AS address, '(650) 253-0001' AS phone, strftime(day, '%Y-%m-%d') AS day, '14:30' AS time_of_day,
+  lpad(CAST(doc_id AS VARCHAR), 10, '0') AS receipt_number, CAST(doc_id % 9 + 1 AS VARCHAR) AS terminal_id FROM o"""
+)
+def receipt_transaction(spark, sf_dir):
+    text = F.col("text")
+    found = render.receipts(spark, sf_dir).select("doc_id", receipt.merchant(text, OPTIONS).alias("m"), receipt.transaction(text, OPTIONS).alias("t"))
+    named = {"merchant": "m.name", "address": "m.address", "phone": "m.phone", "day": "t.date", "receipt_number": "t.receipt_number", "terminal_id": "t.terminal_id"}
+    return found.select("doc_id", *[F.col(f"{path}.value").alias(k) for k, path in named.items()], F.regexp_replace("t.time.value", r"\s+$", "").alias("time_of_day"))
+
+
+@query(_ORDERS + "SELECT doc_id, 'Visa' AS method, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS card_last_4, 'A' || o_custkey AS auth_code FROM o")
+def receipt_payment(spark, sf_dir):
+    found = render.receipts(spark, sf_dir).select("doc_id", receipt.payment(F.col("text")).alias("p"))
+    return found.select("doc_id", *[F.col(f"p.{k}.value").alias(k) for k in ("method", "card_last_4", "auth_code")])
+
+
+@query(_ORDERS + "SELECT doc_id, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS member_id, CAST(o_custkey % 1000 AS VARCHAR) AS points_balance FROM o")
+def receipt_loyalty(spark, sf_dir):
+    found = render.receipts(spark, sf_dir).select("doc_id", receipt.loyalty(F.col("text")).alias("p"))
+    return found.select("doc_id", *[F.col(f"p.{k}.value").alias(k) for k in ("member_id", "points_balance")])
+
+
+@query(_ORDERS + "SELECT doc_id, CAST(subtotal + 1 AS DOUBLE) AS total FROM o")
+def receipt_total(spark, sf_dir):
+    return render.receipts(spark, sf_dir).select("doc_id", receipt.total(F.col("text"))["num_value"].alias("total"))
+
+
+@query("SELECT c_custkey AS doc_id, unnest(['Experience', 'Education', 'Skills', 'Certifications']) AS section FROM customer")
+def resume_sections(spark, sf_dir):
+    return render.resumes(spark, sf_dir).select("doc_id", F.explode(F.map_keys(resume.sections(F.col("text")))).alias("section"))
+
+
+_SKILL = "['Docker', 'Kubernetes', 'AWS', 'Node.js', 'C++'][c_custkey % 5 + 1]"
+
+
+@query(f"SELECT c_custkey AS doc_id, unnest(['Python', {_SKILL}, 'SQL', 'Scrum']) AS skill FROM customer")
+def skills(spark, sf_dir):
+    return render.resumes(spark, sf_dir).select("doc_id", F.explode(fields.skills(F.col("text"))).alias("f")).select("doc_id", F.col("f.value").alias("skill"))
+
+
+@query(
+    f"""SELECT c_custkey AS doc_id, 'Languages' AS category, CAST(CASE WHEN {_SKILL} = 'C++' THEN 3 ELSE 2 END AS INTEGER) AS n FROM customer UNION ALL
+SELECT c_custkey, 'Web', CAST(({_SKILL} = 'Node.js') AS INTEGER) FROM customer UNION ALL
+SELECT c_custkey, 'Cloud/DevOps', CAST(({_SKILL} IN ('Docker', 'Kubernetes', 'AWS')) AS INTEGER) FROM customer UNION ALL SELECT c_custkey, 'Data/AI', 0 FROM customer"""
+)
+def skill_categories(spark, sf_dir):
+    found = render.resumes(spark, sf_dir).select("doc_id", F.explode(resume.skill_groups(F.col("text"), OPTIONS)["categorized"]).alias("category", "fields"))
+    return found.select("doc_id", "category", F.size("fields").alias("n"))
+
+
+@query("SELECT c_custkey AS doc_id, 'Software Engineer' AS title, 'Tech Solutions Inc.' AS company, '2020-01-05' AS day FROM customer")
+def resume_experience(spark, sf_dir):
+    body = F.try_element_at(resume.sections(F.col("text")), F.lit("Experience"))
+    rows = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(body, lambda t: resume.experience(t, OPTIONS))).alias("x"))
+    return rows.select("doc_id", F.col("x.title.value").alias("title"), F.col("x.company.value").alias("company"), F.col("x.dates")[0]["value"].alias("day"))
+
+
+@query(
+    """SELECT c_custkey AS doc_id, 'Bachelor of Science in Computer Science' AS degree, 'State University' AS institution, CAST(c_custkey % 20 + 2000 AS VARCHAR) AS grad_year FROM customer"""
+)
+def resume_education(spark, sf_dir):
+    body = F.try_element_at(resume.sections(F.col("text")), F.lit("Education"))
+    rows = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(body, lambda t: resume.education(t, OPTIONS))).alias("x"))
+    return rows.select("doc_id", F.col("x.degree.value").alias("degree"), F.col("x.institution.value").alias("institution"), F.col("x.year.value").alias("grad_year"))
+
+
+@query("SELECT c_custkey AS doc_id, 'John Smith' AS name, 'user' || c_custkey || '@mail.example.org' AS email, '(650) 253-0000' AS phone FROM customer")
+def resume_contact(spark, sf_dir):
+    found = render.resumes(spark, sf_dir).select("doc_id", resume.contact(F.col("text"), OPTIONS).alias("c"))
+    return found.select("doc_id", *[F.col(f"c.{k}.value").alias(k) for k in ("name", "email", "phone")])
+
+
+@query("SELECT c_custkey AS doc_id, 'Software Engineer' AS title, 0.75::DOUBLE AS confidence FROM customer")
+def job_titles(spark, sf_dir):
+    return render.resumes(spark, sf_dir).select("doc_id", F.explode(fields.job_titles(F.col("text"))).alias("f")).select("doc_id", F.col("f.value").alias("title"), "f.confidence")
+
+
+@query("SELECT c_custkey AS doc_id, 'Springfield, IL 62704' AS address, CAST(10 AS INTEGER) AS start_at, CAST(32 AS INTEGER) AS end_at FROM customer")
+def addresses(spark, sf_dir):
+    return _spans(render.resumes(spark, sf_dir), "doc_id", fields.addresses(F.col("text"))).withColumnRenamed("value", "address")
+
+
+@query("SELECT c_custkey AS doc_id, unnest(['Certified Scrum Master ' || c_custkey, 'Registered Cloud Expert']) AS name FROM customer")
+def certifications(spark, sf_dir):
+    body = F.try_element_at(resume.sections(F.col("text")), F.lit("Certifications"))
+    return render.resumes(spark, sf_dir).select("doc_id", F.explode(let(body, resume.certifications)).alias("x")).select("doc_id", F.col("x.name.value").alias("name"))
+
+
+@query(
+    """SELECT c_custkey AS doc_id, 'ORG' AS entity, 'Tech Solutions Inc.' AS value FROM customer UNION ALL SELECT c_custkey, 'ORG', 'State University' FROM customer UNION ALL
+SELECT c_custkey, 'PERSON', 'John Smith' FROM customer UNION ALL SELECT c_custkey, 'GPE', 'IL' FROM customer UNION ALL SELECT c_custkey, 'DATE', 'Jan 5, 2020' FROM customer"""
+)
+def entity_groups(spark, sf_dir):
+    text = F.regexp_replace("text", r"(?m)^(Registered|Certified).*$", "-")
+    found = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(entities.rules(text), entities.entities)).alias("entity", "fs"))
+    return found.select("doc_id", "entity", F.explode("fs.value").alias("value"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS valid, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS errors FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 0"""
+)
+def validate_totals(spark, sf_dir):
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    rows = _docs(spark, sf_dir, "orders").where(price > 0).withColumn("total", (price + 7 + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).cast("string"))
+    values = {"subtotal": price.cast("string"), "tax": F.lit("$10.00"), "shipping": F.lit("0"), "discount": F.lit("3.00"), "total_amount": F.col("total")}
+    found = rows.select(F.col("o_orderkey").alias("doc_id"), validate.validate_totals(values.__getitem__).alias("v"))
+    return found.select("doc_id", "v.valid", F.size("v.errors").alias("errors"))
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, l_linenumber AS line, CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AS valid,
+  CASE WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 'Due Date ' || CAST(l_shipdate AS DATE) || ' is before Invoice Date ' || CAST(o_orderdate AS DATE) END AS error
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
+def validate_dates(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "lineitem").join(_docs(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    values = {"invoice_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "due_date": F.date_format("l_shipdate", "yyyy-MM-dd")}
+    found = rows.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), validate.validate_dates(values.__getitem__, OPTIONS).alias("v"))
+    return found.select("doc_id", "line", "v.valid", F.get("v.errors", F.lit(0)).alias("error"))
+
+
+@query(
+    """SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS INTEGER) <= 10 AS admitted FROM events"""
+)
+def admission_rate_limit(spark, sf_dir):
+    return files.rate_limited(_docs(spark, sf_dir, "events").select("event_id", "user_id", "ts")).select("user_id", "event_id", "admitted")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/tiff' ELSE 'text/plain' END AS content_type,
+  CASE WHEN event_id % 5 = 4 THEN 400 WHEN event_id % 7 = 0 THEN 413 END AS code FROM events"""
+)
+def file_sniff(spark, sf_dir):
+    heads = ("255044462D312E37", "89504E470D0A1A0A00", "FFD8FFE000104A46", "49492A0008000000", "68656C6C6F")
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("event_id") % 5 + 1).cast("int"))
+    size = F.when(F.col("event_id") % 7 == 0, files.MAX_BYTES + 1).otherwise(100).cast("bigint")
+    uploads = _docs(spark, sf_dir, "events").select("event_id", F.unhex(head).alias("content"), size.alias("length"))
+    admitted, rejected = files.admit(uploads)
+    columns = ["event_id", "content_type", "code"]
+    return admitted.withColumn("code", F.lit(None).cast("int")).select(*columns).unionByName(rejected.select(*columns))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, extractions and corrections after every order was uploaded and all but each fifth one finished."""
+    orders = _docs(spark, sf_dir, "orders")
+    uploads = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("order-"), "o_orderkey", F.lit(".pdf")).alias("filename"), "o_orderdate")
+    documents = store.insert_documents(spark.createDataFrame([], DOCUMENTS), uploads.select("id", "filename"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    items = F.create_map(
+        F.lit("status"), F.array(store.bare(F.col("o_orderstatus"))),
+        F.lit("total_amount"), F.array(store.item(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(0.9), F.lit("regex"))),
+        F.lit("tags"), F.array(store.item(F.col("o_orderpriority"), F.lit(0.5)), store.item(F.lit(None).cast("string"))),
+    )
+    results = orders.where("o_orderkey % 5 <> 0").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.lit("Invoice").alias("document_type"), F.lit(0.75).alias("confidence"), F.lit("text").alias("text_content"), items.alias("fields")
+    )
+    documents, extractions = store.complete(documents, spark.createDataFrame([], EXTRACTIONS), results, F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    return documents, extractions, spark.createDataFrame([], CORRECTIONS)
+
+
+_ROWS = """
+WITH d AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total FROM orders),
+e AS (
+  SELECT id, 'status' AS field_key, 0 AS ord, o_orderstatus AS value, 1.0 AS confidence, 'unknown' AS source FROM d WHERE o_orderkey % 5 <> 0 UNION ALL
+  SELECT id, 'total_amount', 0, total, 0.9, 'regex' FROM d WHERE o_orderkey % 5 <> 0 UNION ALL
+  SELECT id, 'tags', 0, o_orderpriority, 0.5, 'hybrid' FROM d WHERE o_orderkey % 5 <> 0 UNION ALL SELECT id, 'tags', 1, '', 1.0, 'hybrid' FROM d WHERE o_orderkey % 5 <> 0
+)
+"""
+
+
+@query(_ROWS + "SELECT id AS document_id, field_key, CAST(ord AS INTEGER) AS ord, value, CAST(confidence AS DOUBLE) AS confidence, source FROM e")
+def extraction_flatten(spark, sf_dir):
+    return _state(spark, sf_dir)[1].select("document_id", "field_key", "ord", "value", "confidence", "source")
+
+
+@query(
+    _ROWS
+    + """SELECT id AS document_id, CASE WHEN o_orderkey % 5 = 0 THEN 'processing' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 3 END AS n_keys,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ';' END AS tags FROM d"""
+)
+def result_group(spark, sf_dir):
+    documents, extractions, _ = _state(spark, sf_dir)
+    found = store.results(documents, extractions)
+    tags = F.array_join(F.transform(F.try_element_at("extracted_fields", F.lit("tags")), lambda x: x["value"]), ";")
+    return found.select("document_id", "status", F.size("extracted_fields").alias("n_keys"), tags.alias("tags"))
+
+
+@query(_ROWS + "SELECT id, 'order-' || id || '.pdf' AS filename, CASE WHEN o_orderkey % 5 = 0 THEN 'processing' ELSE 'completed' END AS status FROM d ORDER BY id LIMIT 10")
+def recent_documents(spark, sf_dir):
+    return store.recent(_state(spark, sf_dir)[0], 10).select("id", "filename", "status")
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and a new key of every seventh order."""
+    some = _docs(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("document_id"))
+    keyed = some.select("document_id", F.explode(F.array(F.lit("tags"), F.lit("note"))).alias("field_key"))
+    return keyed.withColumn("new_value", F.concat(F.lit("new "), "field_key"))
+
+
+@query(
+    _ROWS
+    + """, u AS (SELECT id, unnest(['tags', 'note']) AS field_key FROM d WHERE o_orderkey % 7 = 0)
+SELECT id AS document_id, field_key, value, source, CAST(NULL AS VARCHAR) AS previous_value FROM e WHERE (id, field_key) NOT IN (SELECT id, field_key FROM u) UNION ALL
+SELECT u.id, u.field_key, 'new ' || u.field_key, 'manual_correction', (SELECT value FROM e WHERE e.id = u.id AND e.field_key = u.field_key AND ord = 0) FROM u"""
+)
+def apply_corrections(spark, sf_dir):
+    _, extractions, corrections = _state(spark, sf_dir)
+    after, log = store.correct(extractions, corrections, _updates(spark, sf_dir), F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    logged = log.select("document_id", "field_key", "previous_value", F.lit("manual_correction").alias("source"))
+    return after.join(logged, ["document_id", "field_key", "source"], "left").select("document_id", "field_key", "value", "source", "previous_value")
+
+
+@query(_ROWS + "SELECT id AS document_id, o_orderstatus AS status, total AS total_amount, o_orderpriority || '; ' AS tags FROM d WHERE o_orderkey % 5 <> 0")
+def export_pivot(spark, sf_dir):
+    documents, extractions, _ = _state(spark, sf_dir)
+    return export.to_table(documents, extractions, ["status", "total_amount", "tags"])
+
+
+@query(
+    _ROWS
+    + """SELECT id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'processing' ELSE 'completed' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE 'Invoice' END AS type, 'order-' || id || '.pdf' AS filename FROM d"""
+)
+def status_view(spark, sf_dir):
+    documents, _, _ = _state(spark, sf_dir)
+    failed = store.mark_failed(documents, _docs(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("broken").alias("error")))
+    return store.status_view(documents.select("id", "filename"), failed).select("id", "status", "type", "filename")
+
+
+@query(_ORDERS + "SELECT doc_id, 'Invoice' AS document_type, true AS document_valid, CAST(3 AS INTEGER) AS checks, 'INV-' || doc_id AS number, CAST(subtotal + 10 AS DOUBLE) AS total FROM o")
+def process_invoices(spark, sf_dir):
+    """The whole pipeline: classify, extract, correct, validate."""
+    found = pipeline.process(render.invoices(spark, sf_dir))
+    return found.select(
+        "doc_id", "classification.document_type", "validation.document_valid", F.size("validation.field_validations").alias("checks"),
+        F.try_element_at("fields", F.lit("header.invoice_number"))["value"].alias("number"), F.try_element_at("fields", F.lit("totals.total_amount"))["num_value"].alias("total"),
+    )
+
+
+@query(
+    _span_sql("documents", "doc_id", "text", fields.EMAIL)
+    + ", n AS (SELECT doc_id, count(*) AS k FROM r GROUP BY doc_id) SELECT doc_id, CAST(coalesce(k, 0) AS INTEGER) AS emails, CAST(11 AS INTEGER) AS n_keys FROM documents LEFT JOIN n USING (doc_id)"
+)
+def hybrid_extract(spark, sf_dir):
+    found = _docs(spark, sf_dir).select("doc_id", merge.extract_all(F.col("text"), OPTIONS).alias("m"))
+    return found.select("doc_id", F.size(F.try_element_at("m", F.lit("email"))).alias("emails"), F.size("m").alias("n_keys"))
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS n, 'Google' AS value, CASE WHEN p_partkey % 2 = 0 THEN 0.87 ELSE 0.9 END::DOUBLE AS confidence FROM part"""
+)
+def hybrid_merge(spark, sf_dir):
+    def one(value: Column, confidence: float, start: int, end: int) -> Column:
+        position = F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"))
+        return F.array(F.struct(value.alias("value"), F.lit(confidence).alias("confidence"), position.alias("position")))
+
+    far = F.col("p_partkey") % 2 == 1
+    other = F.when(far, one(F.lit("Microsoft"), 0.8, 90, 99)).otherwise(one(F.lit("Google Inc"), 0.8, 0, 10))
+    rows = _docs(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), one(F.lit("Google"), 0.9, 0, 6).alias("a"), other.alias("b"))
+    merged = merge.merge_columns(rows, "a", "b", "m")
+    return merged.select("id", F.size("m").alias("n"), F.col("m")[0]["value"].alias("value"), F.col("m")[0]["confidence"].alias("confidence"))
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (1, 2) THEN [CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR)] END[1] IS NOT NULL AS suggested FROM orders WHERE o_orderkey % 4 IN (1, 2)"""
+)
+def correction_suggestions(spark, sf_dir):
+    rows = render.mangled_amounts(spark, sf_dir).where("id % 4 in (1, 2)")
+    return rows.select("id", (F.size(correct.suggestions(F.col("raw"), F.lit("amount"))) == 1).alias("suggested"))
+
+
+@query(
+    _span_sql("documents", "doc_id", "text", fields.PHONE)
+    + """, n AS (SELECT regexp_replace(trim(value), '[^0-9]', '', 'g') AS d, starts_with(trim(value), '+') AS plus FROM r),
+t AS (SELECT CASE WHEN length(d) = 11 AND starts_with(d, '1') THEN d[2:] WHEN length(d) = 10 AND NOT plus THEN d END AS d FROM n)
+SELECT coalesce(regexp_matches(d, '^[2-9][0-9]{2}[2-9][0-9]{6}$') AND NOT regexp_matches(d, '^.11|^555|^...[2-9]11'), false) AS valid, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1"""
+)
+def phone_validity(spark, sf_dir):
+    return phones(spark, sf_dir).groupBy(valid_phone(F.col("value")).alias("valid")).agg(F.count("*").alias("n"))
