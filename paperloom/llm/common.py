@@ -33,6 +33,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small: the default of 10,000 rows is replaced by BATCH_ROWS, since a row
+    here is a whole document. A number that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def input_partitions(df: DataFrame, target_bytes: int) -> int:
     """Partitions for a shuffle of about df's size, from Catalyst's own size estimate; never under the session's setting."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

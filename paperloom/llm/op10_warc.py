@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import bounded, shared_folder, table
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -90,13 +90,11 @@ def records_of(number: int, page_id, url, payload: bytes, digest: str, refers_to
 
 def _render(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        out: list[bytes] = []
-        for number, page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            out += records_of(number, page_id, url, payload, digest, refers_to, segment)
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        for at in range(0, rows.num_rows, 200):
+            out: list[bytes] = []
+            for row in zip(*(c.to_pylist() for c in rows.slice(at, 200).columns), strict=True):
+                out += records_of(*row, segment)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -124,7 +122,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     joined = rows.withColumn("n", size.cast("long")).join(best, ["digest", "n"], "left")
     refers = F.when(F.coalesce(F.col("page_id") < F.col("keep"), F.col("keep").isNotNull()), F.col("keep"))
     shaped = joined.select("number", "page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    out = shaped.mapInArrow(lambda it: _render(it, segment), "record binary").select(F.col("record").cast("string").alias("value"))
+    out = bounded(shaped).mapInArrow(lambda it: _render(it, segment), "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
@@ -179,7 +177,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the WARC files under path, segments apart."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, _RECORD)
+    return bounded(files).mapInArrow(_read, _RECORD)
 
 
 def _join_segments(part: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +215,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, kind, url, digest, refers_to, payload, stated_bytes) of each whole record under path; the payload of
     a revisit is empty, its length is the stated one."""
     shape = "record_id string, kind string, url string, digest string, refers_to string, payload binary, stated_bytes long"
-    return reassemble(read_records(spark, path)).mapInArrow(_payloads, shape)
+    return bounded(reassemble(read_records(spark, path))).mapInArrow(_payloads, shape)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded, materialise, table
 
 BOOKS, WORDS, BEAM = 32, 32, 4
 TRAIN_VECTORS = 4096
@@ -125,7 +125,7 @@ def build_index(vectors: DataFrame, k: int = K) -> tuple[DataFrame, Quantiser |
     quantiser = Quantiser.fit(np.stack(sample["v"].to_numpy()))
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
     parts = max(1, n * 600 // (4 << 20) + 1)
-    index = rows.repartition(parts).mapInArrow(lambda it: _encode(it, sent), "vec_id long, codes binary, norm float, v binary")
+    index = bounded(rows.repartition(parts)).mapInArrow(lambda it: _encode(it, sent), "vec_id long, codes binary, norm float, v binary")
     return materialise(index, "op1-index"), quantiser
 
 
@@ -182,7 +182,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, rerank: int = RER
         asked = usable(vectors).where(is_query).dropDuplicates(["vec_id"])
         for ids, q in _query_blocks(asked):
             block = spark.sparkContext.broadcast((ids, q))
-            found = found.union(index.mapInArrow(lambda it, b=block: _scan(it, sent, b, k, rerank, metric), shape))
+            found = found.union(bounded(index).mapInArrow(lambda it, b=block: _scan(it, sent, b, k, rerank, metric), shape))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

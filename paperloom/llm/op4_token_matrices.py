@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 from .tokens import END_ID, encoder
 
 WINDOW = 2048
@@ -144,7 +144,7 @@ def token_matrices(docs: DataFrame, window: int = WINDOW, block_tokens: int = BL
     are ignored; an empty table gives no rows. One document longer than a block is a block of its own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack(it, window, block_tokens), SCHEMA)
+    return bounded(rows).mapInArrow(lambda it: _pack(it, window, block_tokens), SCHEMA)
 
 
 def write_matrices(docs: DataFrame, path: str, window: int = WINDOW) -> None:

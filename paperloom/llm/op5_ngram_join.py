@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, input_partitions, materialise, table
+from .common import bounded, connected_components, input_partitions, materialise, table
 
 GROUP_DOCS = 512
 GROUP_SHINGLES = 2_000_000
@@ -44,7 +44,7 @@ class _Words(dict):
     """Word -> 64-bit hash, emptied at its bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -204,7 +204,7 @@ def _verify(frames: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd
 def _links(units: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
     """units: (unit, rep, known, text). Each unit is searched by one task at a time."""
     dealt = units.repartition(partitions, "unit").sortWithinPartitions("unit")
-    return dealt.mapInPandas(lambda it: _verify(it, n, percent), "a long, b long")
+    return bounded(dealt).mapInPandas(lambda it: _verify(it, n, percent), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +219,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     partitions = input_partitions(docs.select("doc_id", "text"), 16 << 20)
     profile = materialise(
-        rows.mapInArrow(lambda it: _profile(it, n, n_bands, n_rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "op5-profile"
+        bounded(rows).mapInArrow(lambda it: _profile(it, n, n_bands, n_rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "op5-profile"
     )
     usable = profile.where("doc_id is not null and set_key is not null")
     same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
 TRAIN_PAGES = 400
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
@@ -367,7 +367,7 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(trained())
     shaped = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep or pages.columns]).alias("row"), F.col("html").cast("string").alias("html"))
     out = shaped.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return shaped.mapInArrow(lambda it: _extract(it, sent), out)
+    return bounded(shaped).mapInArrow(lambda it: _extract(it, sent), out)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

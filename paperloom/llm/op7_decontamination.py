@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -75,6 +75,10 @@ class Block:
                 self.lookups.setdefault((suffix, size), []).append(item)
 
 
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, ws, repeat(0)), dtype=np.int32, count=len(ws))
+
+
 def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(values), dtype=bool)
@@ -86,13 +90,12 @@ def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Shard:
     """The suffix array of a few documents against one block."""
 
-    def __init__(self, docs: list[list[bytes]], block: Block):
-        counts = np.array([len(d) for d in docs], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(counts + 1)])  # a 0 stands behind each document
+    def __init__(self, docs: list[np.ndarray], block: Block):
+        self.sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a 0 stands behind each document
         ids = np.zeros(int(self.first[-1]), dtype=np.int64)
-        get = block.vocabulary.get
         for at, d in zip(self.first, docs, strict=False):
-            ids[at : at + len(d)] = np.fromiter(map(get, d, repeat(0)), dtype=np.int64, count=len(d))
+            ids[at : at + len(d)] = d
         pair = ids[:-1] << 32 | ids[1:]
         keep = np.append(_member(pair, block.pairs), False) | _member(ids, block.singles)
         keep &= ids > 0
@@ -124,8 +127,7 @@ def common(a: bytes, b: bytes) -> int:
 def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     block = block.value
     for rows in batches:
-        docs = [words(t.as_py()) for t in rows.column(1)]
-        shard = Shard(docs, block)
+        shard = Shard([block.numbers(words(t.as_py())) for t in rows.column(1)], block)
         before = rows.column(2).to_pylist()
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[int]] = {}
@@ -138,7 +140,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
                 items.setdefault(k, set()).update(owners)
                 best[k] = max(best.get(k, (0, 0, 0)), (shared, -min(owners), -start))
         out = []
-        for k, d in enumerate(docs):
+        for k, n_words in enumerate(shard.sizes.tolist()):
             old = before[k] or {"spans": [], "items": [], "longest": 0, "longest_item": None, "longest_start": None}
             merged: list[list[int]] = []
             for a, b in sorted([*spans.get(k, ()), *((s["start"], s["end"]) for s in old["spans"])]):
@@ -150,7 +152,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
             newer = shared > old["longest"]
             out.append(
                 {
-                    "n_words": len(d),
+                    "n_words": n_words,
                     "spans": [{"start": a, "end": b} for a, b in merged],
                     "items": sorted(items.get(k, set()) | set(old["items"])),
                     "longest": shared if newer else old["longest"],
@@ -193,7 +195,7 @@ def find_contamination(
     spark = docs.sparkSession
     for block in blocks(bench, window, block_words):
         sent = spark.sparkContext.broadcast(block)
-        at = at.mapInArrow(lambda it, b=sent: _scan(it, b), at.schema)
+        at = bounded(at).mapInArrow(lambda it, b=sent: _scan(it, b), at.schema)
     return at.select("row", "found")
 
 

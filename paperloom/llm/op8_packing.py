@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 from .tokens import END_ID, encoder
 
 WINDOW = 2048
@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     packed like any other row. An empty table gives no rows. Other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack(it, window), SCHEMA)
+    return bounded(rows).mapInArrow(lambda it: _pack(it, window), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

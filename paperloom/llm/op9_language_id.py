@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 3000
@@ -179,7 +179,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(chance < part[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = bounded(sample).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS) for lang in sizes}
     for r in found.toLocalIterator():
         counts[r["lang"]][r["bucket"]] = r["n"]
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_R
     kept = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
     shaped = docs.select(kept, F.col("text").cast("string").alias("text"), F.lit(None).cast(f"struct<{_TYPE.replace(' ', ':').replace(',:', ', ')}>").alias("found"))
     out = shaped.select("row", "found").schema
-    return shaped.mapInArrow(lambda it: _predict(it, sent), out)
+    return bounded(shaped).mapInArrow(lambda it: _predict(it, sent), out)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
