@@ -2,7 +2,7 @@
 
 Documents arrive in the order of their partition. A document longer than the window first fills whole windows;
 what is left is placed into the fill level h for which the sum of squared level counts grows least: moving a
-window from level h to h+s changes that sum by 2 * (count[h+s] - count[h]) + 2 (levels 0 and full do not count).
+window from level h to h+s changes that sum by 2 * (count[h+s] - count[h]) + 2; levels 0 and full do not count.
 The counts of the partly filled windows are the level array. When the partition ends, the windows still open are
 merged: the least filled are dissolved, their pieces cut and moved into the gaps of the fullest, so at most one
 stays open, and that one is cut along the binary digits of its fill, as a sequence whose length is a power of
@@ -51,12 +51,9 @@ class SumOfSquares:
         n = self.levels
         usable = n[: self.window - size + 1] > 0
         usable[0] = True
-        growth = n[size:].copy()
-        growth[-1] = 0  # a full window is no longer counted
-        growth -= n[: self.window - size + 1]
-        growth[0] = n[size] + 1 if size < self.window else 0  # a new window: one more is open
-        growth[1:] += 1 if len(growth) > 1 else 0
-        growth[-1] -= 1 if size < self.window else 0
+        growth = 2 * n[size:] - 2 * n[: self.window - size + 1] + 2
+        growth[0] = 2 * n[size] + 1  # a new window
+        growth[-1] = 1 - 2 * n[self.window - size]  # a full window is no longer counted
         growth[~usable] = np.iinfo(np.int64).max
         best = len(growth) - 1 - int(np.argmin(growth[::-1]))  # ties go to the fullest level
         if best:
@@ -169,6 +166,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         yield batch()
     for pieces in packer.finish():
         give(pieces)
+    code.forget()
     yield batch()
 
 

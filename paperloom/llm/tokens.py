@@ -54,6 +54,11 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(spaced)))
         return self._whole(spaced)
 
+    def forget(self) -> None:
+        """Empty the memos, so that a worker that waits for its next task holds no memory for them."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
