@@ -4,8 +4,10 @@ Every text is searched for e-mail addresses, IP addresses, card and phone number
 at least four digits or an @, are mentions. The words around a mention are its contexts: the two before it, the two behind
 it, or one on each side. Contexts and mention values form a bipartite graph, on which scores are spread for
 ``ROUNDS`` rounds: a context's score for a kind is the mean score of its mentions (with one more that counts 0), and
-the score of a value that is no seed is the best score of its contexts. A context with a score of at least ``CONFIDENT``
-and ``SUPPORT`` different seeds is a pattern, and the mentions it surrounds whose form suits its kind are added.
+the score of a value that is no seed is the best score of its contexts. In each round a context takes part if it has at
+least ``SUPPORT`` different trusted values of the kind: seeds, and values whose score reached ``CONFIDENT`` in the rounds
+before, so values that one context discovers can make another one a pattern. In the end a context with a score of at least
+``CONFIDENT`` is a pattern, and the mentions it surrounds whose form suits its kind are added.
 
 All of it is DataFrame and SQL functions. Texts are read once and never shuffled; only mentions are. Edges are summed
 before they are joined, so a context or value that holds a large share of all mentions is one row by task at first.
@@ -150,22 +152,21 @@ def contexts(scanned: DataFrame) -> DataFrame:
 def patterns(mentions: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(context, kind, score): the contexts that the graph of contexts and values finds trustworthy for a kind."""
     edges = materialise(mentions.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed")), "op3-edges")
-    seeds = edges.where("seed is not null")
-    backed = seeds.groupBy("context", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    # a context that too few seeds back can never be a pattern: the graph is cut to the others
-    graph = edges.join(backed.select("context").distinct(), "context", "left_semi")
-    totals = graph.groupBy("context").agg(F.sum("n").alias("total"))
-    scores = seeds.select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    able = F.col("seed").isNotNull() | F.exists(F.array(*map(F.lit, KINDS)), lambda k: suits(k, F.col("value")))
+    # a context with fewer values that could ever be trusted than support asks for is no pattern in any round: the graph is cut to the others
+    totals = materialise(edges.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(able).alias("able")).where(F.col("able") >= support).drop("able"), "op3-totals")
+    graph = materialise(edges.where(able).join(totals, "context", "left_semi"), "op3-graph")
+    fixed = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    scores = fixed
     best = None
     for _ in range(rounds):
-        sums = graph.join(scores, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
-        best = materialise(
-            sums.join(totals, "context").join(backed, ["context", "kind"]).select("context", "kind", (F.col("s") / (F.col("total") + 1)).alias("score")), "op3-patterns"
-        )
+        trusted = F.count_if(F.col("score") >= confident)
+        sums = graph.join(scores, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"), trusted.alias("trusted"))
+        backed = sums.where(F.col("trusted") >= support)
+        best = materialise(backed.join(totals, "context").select("context", "kind", (F.col("s") / (F.col("total") + 1)).alias("score")), "op3-patterns")
         spread = graph.where("seed is null").join(best, "context").where(suits(F.col("kind"), F.col("value")))
         found = spread.groupBy("value", "kind").agg(F.max("score").alias("score"))
-        fixed = seeds.select("value", F.col("seed").alias("kind")).distinct()
-        scores = materialise(fixed.withColumn("score", F.lit(1.0)).unionByName(found.join(fixed, ["value", "kind"], "left_anti")), "op3-scores")
+        scores = materialise(fixed.unionByName(found.join(fixed, ["value", "kind"], "left_anti")), "op3-scores")
     return best.where(F.col("score") >= confident)
 
 

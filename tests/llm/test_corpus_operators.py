@@ -147,6 +147,19 @@ def test_pii_discovers_by_context(spark):
     assert red[100] == "Please charge card number [CARD] for my order" and red[101] == rows[9][1]
 
 
+def test_pii_discovers_by_values_of_a_discovered_context(spark):
+    cards = ["4539148803436467", "4716461583322103", "4485275742308327", "4929594217914358", "4532015112830366", "4556737586899855", "4024007103939509", "4916338506082832"]
+    unseen = [f"{70000000 + i}" for i in range(30)]  # no pattern of a seed matches these
+    rows = [(i, f"please dial extension +49 30 {1000000 + 7919 * i} right away") for i in range(400)]
+    rows += [(1000 + i, f"please dial extension {u} right away") for i, u in enumerate(unseen)]
+    rows += [(2000 + i, f"our hotline is {u} every day") for i, u in enumerate(unseen)]
+    rows += [(3000, "our hotline is 79999999 every day"), (3001, "the part has 79999999 as its code"), *[(4000 + i, f"card number {c} is fine") for i, c in enumerate(cards)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in op3_contextual_pii.find_pii(df).select("row.doc_id", op3_contextual_pii.listed(F.col("spans")).alias("s")).collect()}
+    assert all(got[1000 + i] == "phone:22:30" and got[2000 + i] == "phone:15:23" for i in range(30))
+    assert got[3000] == "phone:15:23" and got[3001] == ""  # two hops away, and in no context of trusted values
+
+
 # op4 and op8
 
 
