@@ -1,7 +1,8 @@
 """Personal data: fixed patterns as seeds, and identifiers that the seeds' contexts discover.
 
-Every text is searched for e-mail addresses, IP addresses, card and phone numbers. These seeds, and every other token with
-at least four digits or an @, are mentions. The words around a mention are its contexts: the two before it, the two behind
+Every text is searched for e-mail addresses, IP addresses, card and phone numbers. These seeds, every other token with
+at least four digits or an @, and every run of digit groups with spaces in it whose digits could be an identifier, are
+mentions; tokens inside such a run are mentions of their own only if they have the form of a kind themselves. The words around a mention are its contexts: the two before it, the two behind
 it, or one on each side. Contexts and mention values form a bipartite graph, on which scores are spread for
 ``ROUNDS`` rounds: a context's score for a kind is the mean score of its mentions (with one more that counts 0), and
 the score of a value that is no seed is the best score of its contexts. In each round a context takes part if it has at
@@ -16,6 +17,8 @@ The patterns need time linear in the text: their repetitions are possessive and
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ PATTERNS = {
 #: Cheap tests without which a pattern has nothing to find.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 MENTION = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){4}|[^\s@]*+@)\S++"
+#: Digit groups joined by up to three spaces, dots, dashes and brackets, on one line; a full stop with a space behind it joins nothing.
+RUN = r"(?<![\p{L}0-9])[+(]{0,2}+[0-9]++(?!\p{L})(?:(?![().-]*+\.\x20)[\x20().-]{1,3}+[0-9]++(?!\p{L}))++"
+RUN_GUARD = r"[0-9][().-]{0,2}\x20[\x20().-]{0,2}[0-9]"
+#: Values of more characters are keyed by their hash.
+LONGEST_KEY = 200
 ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 5
@@ -94,19 +102,28 @@ def suits(kind: Column, value: Column) -> Column:
     )
 
 
+def fits_any(value: Column) -> Column:
+    """Whether a value has the form of some kind."""
+    return functools.reduce(lambda a, b: a | b, [suits(F.lit(k), value) for k in KINDS])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: (uid, row, email, ip, card, phone, mentions), arrays of spans; mentions are the identifier-like
-    tokens that no seed overlaps, with 80 characters of text before and behind each one, and the seeds likewise."""
+    tokens and runs of digit groups that no seed overlaps, with 80 characters of text before and behind each one, and the seeds likewise."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.xxhash64("text").alias("text_hash")).alias("row")
     found = docs.select(F.monotonically_increasing_id().alias("uid"), row, text.alias("text"))
     found = found.select("uid", "row", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     seeds = F.concat(*[_all_of_kind(F.col(k), F.lit(k)) for k in KINDS])
     found = found.withColumn("seeds", seeds)
-    other = F.when(F.col("text").rlike(r"[0-9@]"), spans_of(F.col("text"), MENTION)).otherwise(F.array().cast(_SPAN))
-    found = found.withColumn("other", other)
-    free = F.filter("other", lambda s: ~F.exists("seeds", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    every = F.concat("seeds", _all_of_kind(free, F.lit(None).cast("string")))
+    none = F.array().cast(_SPAN)
+    free = lambda spans, of: F.filter(spans, lambda s: ~F.exists(of, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    runs = F.filter(spans_of(F.col("text"), RUN), lambda s: s["value"].contains(" ") & fits_any(s["value"]))
+    found = found.withColumn("runs", free(F.when(F.col("text").rlike(RUN_GUARD), runs).otherwise(none), "seeds"))
+    other = F.when(F.col("text").rlike(r"[0-9@]"), spans_of(F.col("text"), MENTION)).otherwise(none)
+    found = found.withColumn("other", free(other, "seeds"))
+    tokens = F.filter("other", lambda s: ~F.exists("runs", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) | fits_any(s["value"]))
+    every = F.concat("seeds", _all_of_kind(F.concat("runs", tokens), F.lit(None).cast("string")))
     around = F.transform(
         every,
         lambda s: F.struct(
@@ -131,8 +148,8 @@ def _ordered(spans: Column, order: int) -> Column:
 
 
 def contexts(scanned: DataFrame) -> DataFrame:
-    """(uid, start, end, kind, value, context): up to three contexts of each mention. A context needs its words within
-    the 80 characters beside the mention."""
+    """(uid, start, end, kind, value, fits, context): up to three contexts of each mention. A context needs its words within
+    the 80 characters beside the mention. value is a key of the whole value, fits has the kinds whose form the whole has."""
     m = scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
     word = r"[\p{L}#:_'-]+"
     before = F.regexp_extract("before", rf"({word})\W+({word})\W*$", 0)
@@ -145,14 +162,16 @@ def contexts(scanned: DataFrame) -> DataFrame:
         F.when(behind != "", F.concat(F.lit("behind:"), F.trim(squeeze(behind)))),
         F.when((left1 != "") & (right1 != ""), F.concat(F.lit("around:"), left1, F.lit(" _ "), right1)),
     )
-    shaped = m.select("uid", "start", "end", "kind", F.left("value", F.lit(200)).alias("value"), F.array_compact(forms).alias("forms"))
-    return shaped.select("uid", "start", "end", "kind", "value", F.explode("forms").alias("context"))
+    key = F.when(F.length("value") > LONGEST_KEY, F.concat(F.lit("sha256:"), F.sha2("value", 256))).otherwise(F.col("value"))
+    fits = F.array_compact(F.array(*[F.when(suits(F.lit(k), F.col("value")), k) for k in KINDS]))
+    shaped = m.select("uid", "start", "end", "kind", key.alias("value"), fits.alias("fits"), F.array_compact(forms).alias("forms"))
+    return shaped.select("uid", "start", "end", "kind", "value", "fits", F.explode("forms").alias("context"))
 
 
 def patterns(mentions: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(context, kind, score): the contexts that the graph of contexts and values finds trustworthy for a kind."""
-    edges = materialise(mentions.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed")), "op3-edges")
-    able = F.col("seed").isNotNull() | F.exists(F.array(*map(F.lit, KINDS)), lambda k: suits(k, F.col("value")))
+    edges = materialise(mentions.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed"), F.max("fits").alias("fits")), "op3-edges")
+    able = F.col("seed").isNotNull() | (F.size("fits") > 0)
     # a context with fewer values that could ever be trusted than support asks for is no pattern in any round: the graph is cut to the others
     totals = materialise(edges.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(able).alias("able")).where(F.col("able") >= support).drop("able"), "op3-totals")
     graph = materialise(edges.where(able).join(totals, "context", "left_semi"), "op3-graph")
@@ -164,7 +183,7 @@ def patterns(mentions: DataFrame, rounds: int = ROUNDS, confident: float = CONFI
         sums = graph.join(scores, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"), trusted.alias("trusted"))
         backed = sums.where(F.col("trusted") >= support)
         best = materialise(backed.join(totals, "context").select("context", "kind", (F.col("s") / (F.col("total") + 1)).alias("score")), "op3-patterns")
-        spread = graph.where("seed is null").join(best, "context").where(suits(F.col("kind"), F.col("value")))
+        spread = graph.where("seed is null").join(best, "context").where("array_contains(fits, kind)")
         found = spread.groupBy("value", "kind").agg(F.max("score").alias("score"))
         scores = materialise(fixed.unionByName(found.join(fixed, ["value", "kind"], "left_anti")), "op3-scores")
     return best.where(F.col("score") >= confident)
@@ -179,7 +198,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     scanned = materialise(scan(docs), "op3-scan")
     mentions = contexts(scanned)
     trusted = patterns(mentions)
-    found = mentions.where("kind is null").drop("kind").join(trusted, "context").where(suits(F.col("kind"), F.col("value")))
+    found = mentions.where("kind is null").drop("kind").join(trusted, "context").where("array_contains(fits, kind)")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     best = found.groupBy("uid", "start", "end").agg(F.max(F.struct("score", (-order).alias("order"), "kind")).alias("b"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).cast("int") - 1

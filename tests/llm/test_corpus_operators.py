@@ -160,6 +160,29 @@ def test_pii_discovers_by_values_of_a_discovered_context(spark):
     assert got[3000] == "phone:15:23" and got[3001] == ""  # two hops away, and in no context of trusted values
 
 
+def test_pii_discovers_spaced_and_long_values(spark):
+    cards = ["4539148803436467", "4716461583322103", "4485275742308327", "4929594217914358", "4532015112830366", "4556737586899855", "4024007103939509", "4916338506082832"]
+    rows = [(i, f"Please charge card number {c} for my order") for i, c in enumerate(cards * 5)]
+    rows += [(50 + i, f"my telephone is +49 30 {1000000 + 7919 * i} at home") for i in range(60)]
+    rows += [(200 + i, f"the mailbox of user{i}@mail.org is full") for i in range(60)]
+    long = ["x" * 250 + "/a@b", "x" * 250 + "/c@d"]
+    hidden = [
+        "Please charge card number 4539 1488 0343 6460 for my order", "my telephone is 0171 234 5678 at home", "my telephone is (523) 555 1055 at home", "my telephone is 523.555 - 1056 at home",
+        f"the mailbox of {long[0]} is full", f"the mailbox of {long[1]} is full", "Please charge card number 7 4539148803436461 for my order", "we made 0171 234 5678 units",
+        "my telephone is 70000001 4539 1488 0343 6460 0171 at home",
+    ]
+    rows += [(300 + i, t) for i, t in enumerate(hidden)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = common.materialise(op3_contextual_pii.scan(df), "test-scan")
+    keys = op3_contextual_pii.contexts(scanned).where("length(value) > 60").select("value", "fits").distinct().collect()
+    assert len(keys) == 2 and all(k["fits"] == ["email"] for k in keys)
+    got = {r["doc_id"]: r["s"] for r in op3_contextual_pii.find_pii(df).select("row.doc_id", op3_contextual_pii.listed(F.col("spans")).alias("s")).collect()}
+    assert [got[300 + i] for i in range(4)] == ["card:26:45", "phone:16:29", "phone:16:30", "phone:16:30"]
+    assert [got[304 + i] for i in range(2)] == ["email:15:269"] * 2
+    assert got[306].startswith("card:26:44") and got[307] == ""
+    assert got[308] == "phone:16:24"  # more digits than any kind has: its tokens are looked at
+
+
 # op4 and op8
 
 
