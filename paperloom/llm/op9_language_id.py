@@ -25,7 +25,6 @@ from .common import bounded, table
 BUCKETS = 1 << 16
 TRAIN_ROWS = 3000
 ROUNDS = 10
-LARGEST_SET = 4
 PIECE = 500_000
 UNDETERMINED = "und"
 
@@ -148,15 +147,19 @@ class Model:
         who, sizes = owner[first], np.diff(np.append(first, len(owner)))
         pi, _ = self.proportions(like, first, np.ones((len(first), len(self.langs)), dtype=np.float32))
         rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1)
-        best, score = None, None
-        for k in range(1, min(LARGEST_SET, len(self.langs)) + 1):
-            fit, fitted = self.proportions(like, first, (rank < k).astype(np.float32), ROUNDS // 2 if k > 1 else 1)
-            fitted -= 0.5 * (k - 1) * np.log(sizes + 1)
-            if best is None:
-                best, score = fit, fitted
-            else:
-                better = fitted > score
-                best[better], score[better] = fit[better], fitted[better]
+        best, score = self.proportions(like, first, (rank < 1).astype(np.float32), 1)
+        for k in range(2, len(self.langs) + 1):
+            # the likeliest language of each word has 1, so no log-likelihood exceeds 0 and the penalty bounds what k languages can reach
+            open_ = np.flatnonzero(score < -0.5 * (k - 1) * np.log(sizes + 1))
+            if not len(open_):
+                break
+            n, keep = sizes[open_], np.zeros(len(sizes), dtype=bool)
+            keep[open_] = True
+            some = like[np.repeat(keep, sizes)]
+            fit, fitted = self.proportions(some, np.cumsum(n) - n, (rank[open_] < k).astype(np.float32), ROUNDS // 2)
+            fitted -= 0.5 * (k - 1) * np.log(n + 1)
+            better = fitted > score[open_]
+            best[open_[better]], score[open_[better]] = fit[better], fitted[better]
         for row, i in zip(best, who, strict=True):
             order = [int(x) for x in np.argsort(-row, kind="stable") if row[x] > 0]
             share = row / row.sum()

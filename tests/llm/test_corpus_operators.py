@@ -420,6 +420,17 @@ def test_language_id(spark):
     assert [r["lang"] for r in nothing] == ["und"] and op9_language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_id_of_more_than_four_languages():
+    rng = np.random.default_rng(10)
+    parts = {"l0": ["ba", "do", "ki"], "l1": ["str", "schl", "ing"], "l2": ["eau", "oux", "iè"], "l3": ["zw", "yk", "ov"], "l4": ["mm", "uu", "fé"], "l5": ["qa", "xe", "jö"], "l6": ["ðr", "þu", "æs"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(n))
+    counts = {x: np.bincount(op9_language_id.trigrams(make(x, 2000))[0], minlength=op9_language_id.BUCKETS) for x in parts}
+    model = op9_language_id.Model(counts)
+    six, one, two = model.predict([" ".join(make(f"l{i}", 60) for i in range(6)), make("l3", 80), make("l1", 60) + " " + make("l6", 30)])
+    assert sorted(six[2]) == [f"l{i}" for i in range(6)] and all(abs(x - 1 / 6) < 0.03 for x in six[3])
+    assert one[2] == ["l3"] and two[2] == ["l1", "l6"]
+
+
 # op10
 
 
