@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Hits that are gathered in one list before it is appended to the others.
+BLOCK = 512
 MATCH = "array<struct<hit:string,value:string,start:int,end:int>>"
 
 
@@ -42,11 +44,12 @@ def has_letter(c: Column) -> Column:
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     """All non-overlapping matches, left to right: hit, the group's value, and code-point offsets. The pattern must not
-    match the empty string. One fold over the hits and the gaps between them."""
+    match the empty string. A fold over the hits and the gaps between them, in blocks, since a list that grows is copied with
+    every hit."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(hits.alias("h"), values.alias("v"), gaps.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    none = F.array().cast(MATCH)
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["g"])
@@ -54,7 +57,13 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct(x["h"].alias("hit"), x["v"].alias("value"), a.alias("start"), b.alias("end"))
         return F.when(x["h"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def block(r: Column, acc: Column, i: Column) -> Column:
+        found = F.aggregate(F.slice(r, i * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(found, lambda f: F.struct(f["at"].alias("at"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
+    whole = lambda r: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), start, lambda acc, i: block(r, acc, i), lambda acc: F.flatten(acc["out"]))
+    return let(rows, whole)
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
