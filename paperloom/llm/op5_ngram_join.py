@@ -1,58 +1,78 @@
-"""Exact Jaccard join of word n-gram sets by token groups.
-
-1. One pass turns each text into its set of shingle hashes (64 bit) and ``BANDS`` min-hash bands. Texts with equal
-   sets are collapsed to their smallest doc_id by a map-side minimum, so exact copies never meet again.
-2. Sets that share a band are put into one group: each band's sets are tied to the smallest of them (a star, not
-   all pairs), and the ties' connected components are the groups. Two sets at the threshold share no band with a
-   probability of (1 - t**ROWS)**BANDS: 3e-16 at 0.9, below 1e-10 at 0.8.
-3. Inside a group the sets are cut into small token groups of sets that were found alike. The token-group matrix
-   holds, for every token, the token groups whose union has it. A query's row sums over the matrix bound its overlap
-   with any member; only token groups whose bound reaches the threshold are opened, and only members that are not
-   yet connected with the query are compared, exactly.
-4. A group beyond ``GROUP_DOCS`` sets or ``GROUP_SHINGLES`` shingles is dealt out in blocks, and no task ever holds
-   more than two blocks. First every block is searched along with the group's pivots, which connects the bulk of
-   it. Then each set that is not in the group's largest component is compared with all the others, block by block.
-
-The links are then closed to components with DataFrame joins; nothing of the corpus goes to the driver.
+"""Exact Jaccard join of word n-gram sets by a token-group matrix.
+
+A token is the 64-bit hash of a shingle. All tokens are put into one order: first by the (logarithmic) count of their
+bucket in a sketch of ``2**SKETCH_BITS`` counters over the whole corpus, so that common tokens come last, then by hash.
+The prefix of a set of size s is its first s - ceil(t * s) + 1 tokens; two sets at the threshold t share a token of
+their prefixes, whatever the order. The sketch decides only how often sets that are not similar meet.
+
+1. Texts with equal sets are collapsed to their smallest doc_id by a map-side minimum, so exact copies never meet again.
+   Tokens that stand in one set's prefix only are dropped, and with them all sets that can have no partner.
+2. Similar sets are dealt into groups: a set's home is the commonest token of its prefix. A home is searched in units of
+   bounded size, the heads of its units' clusters once more, for up to ``LEVELS`` levels. Inside a unit a small dense
+   token-group matrix bounds the overlap of a set with each token group, and only groups that can qualify are opened.
+   Clusters of linked sets, and sets without a link, are the groups of the next step.
+3. The token-group matrix of the corpus holds, for each token and group, the union of the members' prefixes: a row
+   (token, group) with the range of the sizes of its members and the largest number of tokens that any of them has from
+   that token on. Two sets at the threshold share a first token, from which on both have at least t / (1 + t) times the
+   sum of their sizes; the matrix bounds that for every two groups that share a token. Only groups that reach the
+   bound are opened, their members are held to the same bound, and what is left is compared, exactly.
+
+Steps 1 and 3 together find every link between different groups, so the components are exact, up to collisions of
+64-bit hashes. Nothing of the corpus goes to the driver but the sketch, one byte a counter.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, connected_components, input_partitions, materialise, table
+from .common import Scratch, connected_components, partitions_for, portions, release, spread_join, table
 
-GROUP_DOCS = 512
-GROUP_SHINGLES = 2_000_000
-PIVOTS = 64
+SKETCH_BITS = 20
+CHUNK_BITS = 14
+#: Bounds of a unit: sets, shingles, and cells of its matrix.
+UNIT_DOCS = 512
+UNIT_SHINGLES = 2_000_000
+UNIT_CELLS = 64_000_000
+LEVELS = 3
 TOKEN_GROUP = 16
-#: (bands, rows of a band) by threshold in percent; each keeps the chance to miss a pair at the threshold below 1e-10.
-BANDING = {90: (40, 5), 80: (60, 5)}
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_ODD = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """A 64-bit number for each byte."""
+    return np.random.default_rng(20_240_229).integers(0, 2**64, 256, dtype=np.uint64)
+
 
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, made as far as a text needs them."""
 
-class _Words(dict):
-    """Word -> 64-bit hash, emptied at its bound."""
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            base = np.full(max(n, 1 << 16), _ODD, dtype=np.uint64)
+            back = np.full(len(base), pow(_ODD, -1, 2**64), dtype=np.uint64)
+            base[0] = back[0] = 1
+            self.up, self.down = np.cumprod(base), np.cumprod(back)
+        return self.up[:n], self.down
 
 
 @functools.lru_cache(maxsize=1)
-def _word_hashes() -> _Words:
-    return _Words()
+def _powers() -> _Powers:
+    return _Powers()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,55 +83,98 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of the texts, number of the first word of each text, and the number of words). A word's
+    hash is a polynomial in its bytes, read off the running sum over all bytes."""
+    joined = b"\n".join(t or b"" for t in texts) + b"\n"
+    data = np.frombuffer(joined.translate(_LOWER), dtype=np.uint8)
+    up, down = _powers().to(len(data))
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]  # the last byte is blank, so every word ends
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_letters()[data] * up)])
+    hashes = _mix((total[end] - total[start]) * down[start])
+    places = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    return hashes, np.searchsorted(start, places)
+
+
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles; of its whole word sequence if it has fewer words."""
+    words, first = word_hashes(texts)
+
+    def rolled(h: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(len(h) - size + 1, size, dtype=np.uint64)
+        for i in range(size):
+            out = _mix(out + h[i : len(h) - size + 1 + i])
+        return out
+
+    whole = rolled(words, n) if len(words) >= n else None
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n:
+            out.append(np.unique(whole[a : b - n + 1]))
+        else:
+            out.append(rolled(words[a:b], b - a) if b > a else np.empty(0, dtype=np.uint64))
+    return out
+
+
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-word shingles; of its whole word sequence if it has fewer words."""
-    ws = text.translate(_LOWER).split() if text else []
-    if not ws:
-        return np.empty(0, dtype=np.uint64)
-    known = _word_hashes()
-    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws))
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-    for i in range(size):
-        out = _mix(out + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
-
-
-@functools.lru_cache(maxsize=4)
-def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20_240_229)
-    return rng.integers(0, 2**32, k, dtype=np.uint32)[:, None], (rng.integers(0, 2**31, k, dtype=np.uint32) * 2 + 1)[:, None]
-
-
-def bands(shingles: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
-    """One 64-bit key a band, of the min-hashes of the band's rows."""
-    xor, odd = _seeds(n_bands * n_rows)
-    x = (shingles >> np.uint64(32)).astype(np.uint32) ^ (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    low = np.full(n_bands * n_rows, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), 256):  # blocks that stay in the cache
-        v = (x[None, at : at + 256] ^ xor) * odd
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        np.minimum(low, v.min(axis=1), out=low)
-    rows = low.reshape(n_bands, n_rows).astype(np.uint64)
-    key = np.arange(1, n_bands + 1, dtype=np.uint64)
-    for j in range(n_rows):
-        key = _mix(key + rows[:, j])
-    return key.view(np.int64)
-
-
-def _profile(batches: Iterator[pa.RecordBatch], n: int, n_bands: int, n_rows: int) -> Iterator[pa.RecordBatch]:
+    return shingle_sets([text], n)[0]
+
+
+def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    shift = np.uint64(64 - SKETCH_BITS)
+    for rows in portions(batches, 1):
+        sets = [s for s in shingle_sets(rows.column(1).to_pylist(), n) if len(s)]
+        if sets:
+            counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+    parts = counts.reshape(-1, 1 << CHUNK_BITS)
+    used = [i for i, part in enumerate(parts) if part.any()]
+    packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], ["chunk", "counts"])
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for rows in batches:
-        sizes, keys, all_bands = [], [], []
-        for text in rows.column(1):
-            s = shingle_set(text.as_py(), n)
-            sizes.append(len(s))
-            keys.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None)
-            all_bands.append(bands(s, n_bands, n_rows) if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_key", "bands"],
-        )
+        for chunk, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            n = total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.int64))
+            n += np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
+    logs = [np.frexp(n.astype(np.float64))[1].astype(np.uint8).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(logs, pa.binary())], ["chunk", "counts"])
+
+
+def token_classes(rows: DataFrame, n: int) -> np.ndarray:
+    """The logarithm of each sketch counter, over every text of rows (id, text binary); 2**SKETCH_BITS bytes."""
+    parts = rows.mapInArrow(lambda it: _count(it, n), "chunk long, counts binary").repartition("chunk")
+    out = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint8)
+    for r in parts.mapInArrow(_classes, "chunk long, counts binary").collect():  # one row a chunk
+        out[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """The first size - ceil(percent * size / 100) + 1 tokens of a set in the order of all tokens."""
+    size = len(shingles)
+    keep = min(size, size + 1 + -percent * size // 100) if size else 0
+    key = classes[shingles >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | shingles >> np.uint64(8)
+    return shingles[np.argsort(key, kind="stable")[:keep]]
+
+
+def _profile(batches: Iterator[pa.RecordBatch], n: int, percent: int, classes) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_shingles", "set_key", "prefix"]
+    for rows in portions(batches, 1):
+        sets = shingle_sets(rows.column(1).to_pylist(), n)
+        keys = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets]
+        first = [prefix(s, classes.value, percent).view(np.int64) for s in sets]
+        ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+        flat = pa.array(np.concatenate(first) if first else np.empty(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names)
+    release()
 
 
 class UnionFind:
@@ -128,27 +191,21 @@ class UnionFind:
         self.parent[self.find(i)] = self.find(j)
 
 
-def links_of(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) with 100 * intersection >= percent * union, enough of them to connect every linked pair of sets.
-
-    known: sets with the same number are already connected and need no link among themselves.
-    """
+def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) with 100 * intersection >= percent * union, enough of them to connect every linked pair of sets. Its
+    matrix takes at most a byte for each token and set."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
     local = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
     parts, found = UnionFind(len(sets)), []
-    if known is not None:
-        seen: dict[int, int] = {}
-        for i, k in enumerate(known):
-            parts.join(i, seen.setdefault(k, i))
-    matrix = np.zeros((len(tokens), 8), dtype=np.uint8)  # token x token group
+    matrix = np.zeros((8, len(tokens)), dtype=bool)  # token group x token
     members: list[list[int]] = []
     smallest: list[int] = []
     home: dict[int, int] = {}
     mark = np.zeros(len(tokens), dtype=bool)
     for q in order:
         size = len(local[q])
-        bound = matrix[local[q], : len(members)].sum(axis=0, dtype=np.int64)
+        bound = matrix[: len(members), local[q]].sum(axis=1, dtype=np.int64)
         # the overlap of a pair at the threshold is at least percent / (100 + percent) of the sum of its sizes
         need = (percent * (size + np.array(smallest, dtype=np.int64)) + 99 + percent) // (100 + percent)
         mark[local[q]] = True
@@ -170,146 +227,179 @@ def links_of(sets: list[np.ndarray], percent: int, known: list[int] | None = Non
             g = len(members)
             members.append([])
             smallest.append(size)
-            if g == matrix.shape[1]:
-                matrix = np.concatenate([matrix, np.zeros_like(matrix)], axis=1)
+            if g == len(matrix):
+                matrix = np.concatenate([matrix, np.zeros_like(matrix)])
         members[g].append(q)
         home[q] = g
-        matrix[local[q], g] = 1
+        matrix[g, local[q]] = True
     return found
 
 
-def _verify(frames: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by unit, a bounded set of documents; gives the links inside each unit."""
-    rest: pd.DataFrame | None = None
-
-    def solve(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.drop_duplicates(["rep", "text"])
-        sets = [shingle_set(t, n) for t in unit["text"]]
-        reps, known = unit["rep"].tolist(), unit["known"].tolist()
-        pairs = links_of(sets, percent, known) if len(sets) > 1 else []
-        return pd.DataFrame({"a": [reps[i] for i, _ in pairs], "b": [reps[j] for _, j in pairs]}, dtype="int64")
-
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        cuts = np.flatnonzero((frame["unit"].to_numpy()[1:] != frame["unit"].to_numpy()[:-1])) + 1
-        parts = np.split(np.arange(len(frame)), cuts)
-        for part in parts[:-1]:
-            if len(part) > 1:
-                yield solve(frame.iloc[part])
-        rest = frame.iloc[parts[-1]] if len(frame) else None
-    if rest is not None and len(rest) > 1:
-        yield solve(rest)
-
-
-def _links(units: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
-    """units: (unit, rep, known, text). Each unit is searched by one task at a time."""
-    dealt = units.repartition(partitions, "unit").sortWithinPartitions("unit")
-    return bounded(dealt).mapInPandas(lambda it: _verify(it, n, percent), "a long, b long")
+def _heads(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, rep, text) come sorted by unit, a bounded set of documents. Gives (a, b): each set's link to the smallest
+    of its cluster in the unit."""
+    unit, held = None, []
+
+    def solve() -> pa.RecordBatch:
+        seen = list(dict.fromkeys(held))
+        pairs = links_of(shingle_sets([t for _, t in seen], n), percent) if len(seen) > 1 else []
+        parts = UnionFind(len(seen))
+        for i, j in pairs:
+            parts.join(i, j)
+        low: dict[int, int] = {}
+        for i, (rep, _) in enumerate(seen):
+            root = parts.find(i)
+            low[root] = min(rep, low.get(root, rep))
+        ends = [(rep, low[parts.find(i)]) for i, (rep, _) in enumerate(seen)]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, b in ends if a != b], pa.int64()), pa.array([b for a, b in ends if a != b], pa.int64())], ["a", "b"])
+
+    for rows in portions(batches, 2):
+        for u, rep, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if u != unit and held:
+                yield solve()
+                held.clear()
+            unit = u
+            held.append((rep, text))
+    if held:
+        yield solve()
+    held.clear()
+    release()
+
+
+def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, text of a, text of b); gives the links among them."""
+    for whole in portions(batches, 2):
+        for rows in portions(iter([whole]), 3):
+            texts = rows.column(2).to_pylist() + rows.column(3).to_pylist()
+            sets = shingle_sets(texts, n)
+            k = rows.num_rows
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:k], sets[k:], strict=True)]
+            good = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(both, sets[:k], sets[k:], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    release()
+
+
+def _can_link(percent: int, size_a, size_b, rest_a, rest_b) -> Column:
+    """Whether sets of these sizes (for groups: whose members' sizes reach from the first to the second) can be at the
+    threshold if their first common token has rest_a and rest_b tokens from it on."""
+    (low_a, high_a), (low_b, high_b) = size_a, size_b
+    sizes = (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
+    return sizes & ((100 + percent) * F.least(rest_a, rest_b) >= percent * (low_a + low_b))
+
+
+def _first_links(work: DataFrame, rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Links that tie the sets of a home together as far as they are found alike. work: (w, rep, n, r, c), c being the
+    token's number of sets."""
+    best = F.max_by("w", F.struct("c", F.xxhash64("w")))
+    state = scratch.keep(work.groupBy("rep").agg(best.alias("home"), F.max("n").alias("n")), "state")
+    links = None
+    for level in range(LEVELS):
+        totals = state.groupBy("home").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+        blocks = F.greatest(F.col("docs") / UNIT_DOCS, F.col("shingles") / UNIT_SHINGLES, F.sqrt(F.col("docs") * F.col("shingles") / UNIT_CELLS))
+        totals = scratch.keep(totals.select("home", "docs", F.ceil(blocks).cast("long").alias("blocks")), f"homes-{level}")
+        placed = spread_join(state, totals, "home", "docs", state.count())
+        block = F.pmod(F.xxhash64("rep", F.lit(level)), "blocks")
+        placed = scratch.keep(placed.select("rep", "home", "n", "blocks", F.xxhash64("home", block, F.lit(level)).alias("unit")), f"placed-{level}")
+        texts = scratch.keep(rows.withColumnRenamed("doc_id", "rep").join(placed.select("rep", "unit"), "rep").select("unit", "rep", "text"), f"texts-{level}")
+        parts = partitions_for(texts.sparkSession, scratch.size(f"texts-{level}"), 8 << 20)
+        dealt = texts.repartition(parts, "unit").sortWithinPartitions("unit")
+        found = scratch.keep(dealt.mapInArrow(lambda it: _heads(it, n, percent), "a long, b long"), f"heads-{level}")
+        scratch.free(f"texts-{level}")
+        links = found if links is None else links.union(found)
+        more = placed.where("blocks > 1")
+        if more.isEmpty():
+            break
+        state = scratch.keep(more.join(found.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti").select("rep", "home", "n"), "state")
+    return links
+
+
+def _other_links(work: DataFrame, links: DataFrame, rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Every link between sets of different groups. The groups are the components of links."""
+    groups = connected_components(links, scratch, "op5-groups").withColumnsRenamed({"node": "rep", "root": "grp"})
+    work = scratch.keep(work.join(groups, "rep", "left").select("w", F.coalesce("grp", "rep").alias("grp"), "rep", "n", "r"), "work")
+    matrix = work.groupBy("w", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("rest"))
+    matrix = scratch.keep(matrix, "matrix")
+    shared = scratch.keep(matrix.groupBy("w").agg(F.count("*").alias("groups")).where("groups > 1"), "shared")
+    cells = scratch.keep(spread_join(matrix, shared, "w", "groups", matrix.count()), "cells")
+    a, b = cells.alias("a"), cells.alias("b")
+    able = _can_link(percent, (F.col("a.low"), F.col("a.high")), (F.col("b.low"), F.col("b.high")), F.col("a.rest"), F.col("b.rest"))
+    opened = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.grp") < F.col("b.grp")) & able)
+    opened = scratch.keep(opened.select("a.w", F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")), "opened")
+    x = work.select("w", F.col("grp").alias("ga"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    y = work.select(F.col("w").alias("wb"), F.col("grp").alias("g"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    able = _can_link(percent, (F.col("na"), F.col("na")), (F.col("nb"), F.col("nb")), F.col("ra"), F.col("rb"))
+    asked = opened.join(x, ["w", "ga"])
+    pairs = asked.join(y, (F.col("w") == F.col("wb")) & (F.col("gb") == F.col("g")) & able).select("a", "b").distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = scratch.keep(rows.join(needed, "doc_id", "left_semi"), "pair-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    found = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(lambda it: _compare(it, n, percent), "a long, b long"), "links")
+    scratch.free("work", "matrix", "shared", "cells", "opened", "pairs", "pair-texts")
+    return found
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string).
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string). percent is from 1 to 100.
 
     component_id is the smallest doc_id that links reach. A null or blank text has an empty set and its own doc_id.
     Rows that repeat a doc_id are versions of one document: their links are pooled, and each row is returned. A row
     whose doc_id is null links with nothing and has a null component_id. Other columns of docs are ignored. An empty
-    table gives no rows.
+    table gives no rows. Texts of any length are read whole.
     """
-    n_bands, n_rows = BANDING[percent]
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "op5")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    partitions = input_partitions(docs.select("doc_id", "text"), 16 << 20)
-    profile = materialise(
-        bounded(rows).mapInArrow(lambda it: _profile(it, n, n_bands, n_rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "op5-profile"
-    )
+    classes = spark.sparkContext.broadcast(token_classes(rows, n))
+    shape = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
+    profile = scratch.keep(rows.mapInArrow(lambda it: _profile(it, n, percent, classes), shape), "profile")
     usable = profile.where("doc_id is not null and set_key is not null")
-    same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    reps = materialise(same, "op5-reps")
-
-    # groups: sets tied by a shared band
-    first = usable.join(reps.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi")
-    keyed = first.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("band", "low")
-    ties = materialise(keyed.join(shared, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "op5-ties")
-    groups = connected_components(ties, "op5-groups").withColumnsRenamed({"node": "rep", "root": "grp"})
-    sizes = groups.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
-    totals = sizes.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    totals = totals.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / GROUP_DOCS, F.col("shingles") / GROUP_SHINGLES)).cast("long"))
-    placed = materialise(sizes.join(totals, "grp").select("rep", "grp", "blocks"), "op5-placed")
-
-    texts = materialise(
-        rows.withColumnRenamed("doc_id", "rep").join(placed, "rep").select("rep", "grp", "blocks", "text"), "op5-texts"
-    )
-    none = F.col("rep").alias("known")
-    small = texts.where("blocks = 1").select(F.col("grp").alias("unit"), "rep", none, "text")
-    links = materialise(_links(small, n, percent, partitions), "op5-links")
-
-    large = texts.where("blocks > 1")
-    if placed.where("blocks > 1").limit(1).count():
-        links = links.union(_large_groups(large, n, percent, partitions))
+    same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by("prefix", "doc_id").alias("prefix"))
+    reps = scratch.keep(same, "reps")
+    # tokens of one prefix only meet nothing
+    work = reps.select(F.posexplode("prefix").alias("p", "w"), "rep", "n").select("w", "rep", "n", (F.col("n") - F.col("p")).alias("r"))
+    tokens = scratch.keep(work.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "tokens")
+    size = int(reps.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    work = scratch.keep(spread_join(work, tokens.withColumn("weight", F.col("c")), "w", "weight", size), "play")
+    links = _first_links(work, rows, scratch, n, percent)
+    links = links.union(_other_links(work, links, rows, scratch, n, percent))
+    scratch.free("tokens", "play", "state")
     # documents of one doc_id are one node; equal sets are tied to their smallest doc_id
-    copies = usable.join(reps, "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    merged = connected_components(links.select("a", "b"), "op5-result").withColumnsRenamed({"node": "rep", "root": "root"})
-    by_rep = reps.groupBy("rep").agg(F.count("*").alias("sets")).join(merged, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
-    twice = profile.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").limit(1).count()
-    if twice:  # a doc_id with several sets ties their classes
-        full = connected_components(links.select("a", "b").union(copies), "op5-repeated")
+    twice = profile.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1")
+    if not twice.isEmpty():  # a doc_id with several sets ties their classes
+        copies = usable.join(reps.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+        full = connected_components(links.union(copies), scratch, "op5-repeated")
         return profile.join(full.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
         )
-    classes = materialise(reps.join(by_rep, "rep").select("set_key", "root"), "op5-classes")
-    return profile.join(classes, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
-    )
-
-
-def _large_groups(large: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
-    """Links of the groups that no single task may hold, in blocks of about GROUP_DOCS sets."""
-    blocked = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # pivots: PIVOTS sets of small hash out of the group's first blocks, taken without sorting a group in one task
-    chosen = (
-        large.select("grp", F.struct(F.xxhash64("rep", F.lit("pivot")).alias("h"), "rep").alias("x"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-        .where(F.col("block") < PIVOTS)
-        .groupBy("grp", "block")
-        .agg(F.slice(F.array_sort(F.collect_list("x")), 1, PIVOTS).alias("xs"))
-        .groupBy("grp")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("xs", 1, 8)))), 1, PIVOTS).alias("xs"))
-        .select("grp", F.explode("xs.rep").alias("rep"))
-    )
-    pivots = large.join(chosen, ["grp", "rep"], "left_semi")
-    unit = F.xxhash64("grp", "block").alias("unit")
-    everywhere = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    known = F.col("rep").alias("known")
-    first = materialise(_links(blocked.select(unit, "rep", known, "text").union(everywhere.select(unit, "rep", known, "text")), n, percent, partitions), "op5-first")
-    parts = connected_components(first.union(large.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), "op5-parts")
-    state = materialise(large.select("rep", "grp", "blocks").join(parts.withColumnRenamed("node", "rep"), "rep"), "op5-state")
-    counts = state.groupBy("grp", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("m")).select("grp", F.col("m.root").alias("main"), F.col("m.n").alias("n_main"))
-    late = state.join(main, "grp").where("root <> main").select("grp", "rep", "root", "blocks")
-    n_late = late.groupBy("grp").agg(F.count("*").alias("n_late"))
-    # each straggler's block meets each block of its group; two blocks of documents at most are in one unit
-    late_blocks = F.ceil(F.col("n_late") / GROUP_DOCS).cast("long")
-    late = late.join(n_late, "grp").withColumn("late_blocks", late_blocks).withColumn("late_block", F.pmod(F.xxhash64("rep", F.lit("late")), "late_blocks"))
-    late = materialise(late.select("grp", "rep", "root", "blocks", "late_blocks", "late_block"), "op5-late")
-    here = large.join(state.select("rep", "root"), "rep").join(late.select("grp", "late_blocks").distinct(), "grp")
-    spread = here.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
-        "late_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("late_blocks") - 1))
-    )
-    moved = large.select("grp", "rep", "text").join(late, ["grp", "rep"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    unit = F.xxhash64("grp", "block", "late_block").alias("unit")
-    known = F.col("root").alias("known")
-    second = _links(spread.select(unit, "rep", known, "text").union(moved.select(unit, "rep", known, "text")), n, percent, partitions)
-    return first.union(materialise(second, "op5-second"))
+    merged = connected_components(links, scratch, "op5-result").withColumnRenamed("node", "rep")
+    classes_of = reps.select("set_key", "rep", "copies").join(merged, "rep", "left").select("set_key", "copies", F.coalesce("root", "rep").alias("root"))
+    classes_of = scratch.keep(classes_of, "classes")
+    known = spread_join(usable.select("doc_id", "n_shingles", "set_key"), classes_of, "set_key", "copies", profile.count())
+    rest = profile.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.select("doc_id", "n_shingles", F.col("root").alias("component_id")).unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of rows that repeat a
-    doc_id one stays. Rows with a null doc_id link with nothing and all stay."""
-    classes = ngram_components(docs, n, percent)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """One row of docs (doc_id, text) of each group of rows that links reach, with all its columns: the one of smallest
+    doc_id (null last), then the first one.
+
+    Links are between rows, so rows that repeat a doc_id, or have none, go only if their texts are equal or linked. A null
+    or blank text links with nothing and stays. Columns of any name are kept. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "op5-rows")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = ngram_components(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
+    groups = scratch.keep(groups.where(F.col("g").isNotNull()), "groups")
+    sizes = groups.groupBy("g").agg(F.count("*").alias("w")).where("w > 1")
+    members = spread_join(groups, sizes, "g", "w", groups.count())
+    members = scratch.keep(members.join(numbered.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("id")), "r"), "members")
+    first = members.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m")).select(F.col("m.r").alias("r"))
+    gone = members.select("r").join(first, "r", "left_anti").withColumnRenamed("r", row)
+    return numbered.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
