@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import portions, release, table
 from .tokens import END_ID, encoder
 
 WINDOW = 2048
@@ -126,7 +126,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, block_tokens: int) ->
         docs.clear()
         held = 0
 
-    for rows in batches:
+    for rows in portions(batches, 1):
         for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
             ids = np.frombuffer(code.ids(text.as_py()) + end, dtype="<u4").astype("<u2")
             if docs and held + len(ids) > block_tokens:
@@ -136,6 +136,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, block_tokens: int) ->
     code.forget()
     if docs:
         yield from give()
+    release()
 
 
 def token_matrices(docs: DataFrame, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -145,7 +146,7 @@ def token_matrices(docs: DataFrame, window: int = WINDOW, block_tokens: int = BL
     are ignored; an empty table gives no rows. One document longer than a block is a block of its own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(lambda it: _pack(it, window, block_tokens), SCHEMA)
+    return rows.mapInArrow(lambda it: _pack(it, window, block_tokens), SCHEMA)
 
 
 def write_matrices(docs: DataFrame, path: str, window: int = WINDOW) -> None:

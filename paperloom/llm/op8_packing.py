@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import portions, release, table
 from .tokens import END_ID, encoder
 
 WINDOW = 2048
@@ -152,7 +152,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     number = 0
-    for rows in batches:
+    for rows in portions(batches, 1):
         for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
             ids = code.ids(text.as_py()) + end
             total = len(ids) // 4
@@ -168,6 +168,7 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         give(pieces)
     code.forget()
     yield batch()
+    release()
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -178,7 +179,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     packed like any other row. An empty table gives no rows. Other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded(rows).mapInArrow(lambda it: _pack(it, window), SCHEMA)
+    return rows.mapInArrow(lambda it: _pack(it, window), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
