@@ -1,15 +1,19 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each Arrow batch of documents is one shard. Its words become integers (0 for a word that no benchmark item has),
-and the shard's suffix array holds, in sorted order, every word position at which a match with the benchmark can
-begin: positions whose word pair occurs in an item, or whose word is a whole item. A suffix ends at the next 0,
-where no match can go on, and is compared no deeper than the longest item, so the order is exact for every search.
-Every suffix of every item is then looked up by binary search: the range that shares its first ``window`` words has
-every occurrence of that window, and the words each occurrence shares beyond it give the longest verbatim match.
-
-Documents never leave their partition: there is no shuffle, and memory is one batch and one block of the benchmark.
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, each broadcast on its own; the results of one
-block are carried to the pass of the next, so the size of the benchmark is not limited.
+Each portion of about a megabyte of documents is one shard. Its words become integers (0 for a word that no benchmark item
+has). A match with the benchmark can go on only from word to word while the pair of words occurs in an item, so the text
+is cut into runs of such pairs; the shard's suffix array holds every word position of a run in the order of what follows
+up to the run's end, made by prefix doubling. Memory is linear in the shard and in the benchmark, whatever the length of
+an item: suffixes are places in one array of word numbers.
+
+Every suffix of every item that has a whole window is then looked up by binary search: the range of the array that shares its
+window has every occurrence of that window. Where the words before it differ (a match that is not the continuation of a longer one),
+the words shared beyond the window are counted, which gives the longest verbatim match; matches shorter than a window are not
+looked for.
+
+Documents never leave their partition: there is no shuffle, and memory is one shard and one block of the benchmark.
+The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, or one longer item, each broadcast on its own; the results of
+one block are carried to the pass of the next, so the size of the benchmark is not limited.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, table
+from .common import portions, release, table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -47,33 +51,46 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_CLEAN).split() if text else []
 
 
+def ranks(ids: np.ndarray, goes_on: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of the places ``starts`` its rank among the suffixes there, equal suffixes having equal ranks. A suffix goes
+    on to the next place while ``goes_on``; every place that a suffix reaches is in starts. Prefix doubling."""
+    if not len(starts):
+        return np.empty(0, dtype=np.int64)
+    ends = np.flatnonzero(~goes_on)
+    length = ends[np.searchsorted(ends, starts)] - starts + 1
+    _, rank = np.unique(ids[starts], return_inverse=True)
+    rank = rank.astype(np.int64) + 1
+    step, longest = 1, int(length.max())
+    while step < longest and int(rank.max()) < len(starts):
+        ahead = np.zeros(len(starts), dtype=np.int64)
+        more = np.flatnonzero(length > step)
+        ahead[more] = rank[np.searchsorted(starts, starts[more] + step)]
+        _, rank = np.unique(rank * (len(starts) + 1) + ahead, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        step *= 2
+    return rank
+
+
 class Block:
-    """A bounded part of the benchmark: its vocabulary, and its suffixes as byte strings of word numbers."""
+    """A bounded part of the benchmark: its vocabulary, all its words as numbers in one array (0 behind each item), and its
+    windows, each with the items and places that have it. An item without id has no number."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.suffixes: list[tuple[int, bytes, int]] = []  # item, suffix, length in bytes of its window (0: too short)
-        singles, pairs = set(), set()
-        self.depth = 0
-        for item, ws in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int64)
-            data = ids.astype(">u4").tobytes()
-            size = min(window, len(ids))
-            self.depth = max(self.depth, len(ids))
-            for i in range(len(ids)):
-                self.suffixes.append((item, data[4 * i :], 4 * size if i + size <= len(ids) else 0))
-            if len(ids) == 1:
-                singles.add(int(ids[0]))
-            pairs.update((ids[:-1] << 32 | ids[1:]).tolist())
-        self.singles = np.array(sorted(singles), dtype=np.int64)
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-        # equal suffixes of different items are looked up once
-        self.lookups: dict[tuple[bytes, int], list[int]] = {}
-        for item, suffix, size in self.suffixes:
-            if size:
-                self.lookups.setdefault((suffix, size), []).append(item)
-
+        numbers = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws] for _, ws in items]
+        self.ids = np.array([n for ns in numbers for n in (*ns, 0)], dtype=np.int32)
+        first = np.cumsum([0, *(len(ns) + 1 for ns in numbers)])
+        pair = self.ids[:-1].astype(np.int64) << 32 | self.ids[1:]
+        self.pairs = np.unique(pair[(self.ids[:-1] > 0) & (self.ids[1:] > 0)])
+        self.singles = np.unique(np.array([ns[0] for ns in numbers if len(ns) == 1], dtype=np.int64))
+        data = self.ids.astype(">u4").tobytes()
+        #: window -> [(item, place in ids)]
+        self.windows: dict[bytes, list[tuple[int | None, int]]] = {}
+        for (item, _), ns, at in zip(items, numbers, first.tolist(), strict=False):
+            size = min(window, len(ns))
+            for place in range(at, at + len(ns) - size + 1):
+                self.windows.setdefault(data[4 * place : 4 * (place + size)], []).append((item, place))
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, ws, repeat(0)), dtype=np.int32, count=len(ws))
@@ -93,52 +110,67 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], block: Block):
         self.sizes = np.array([len(d) for d in docs], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # a 0 stands behind each document
-        ids = np.zeros(int(self.first[-1]), dtype=np.int64)
+        self.ids = np.zeros(int(self.first[-1]) + 1, dtype=np.int32)
         for at, d in zip(self.first, docs, strict=False):
-            ids[at : at + len(d)] = d
-        pair = ids[:-1] << 32 | ids[1:]
-        keep = np.append(_member(pair, block.pairs), False) | _member(ids, block.singles)
-        keep &= ids > 0
-        starts = np.flatnonzero(keep)
-        zeros = np.flatnonzero(ids == 0)
-        ends = np.minimum(zeros[np.searchsorted(zeros, starts)], starts + block.depth) if len(starts) else starts
-        data = ids.astype(">u4").tobytes()
-        both = sorted((data[4 * a : 4 * b], a) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-        self.suffixes = [x[0] for x in both]
-        self.positions = [x[1] for x in both]
-
-    def occurrences(self, suffix: bytes, size: int) -> Iterator[tuple[int, int]]:
-        """(position, words in common) for each suffix here that shares the first ``size`` bytes."""
-        head = suffix[:size]
-        low = bisect_left(self.suffixes, head)
-        high = bisect_left(self.suffixes, head + b"\xff\xff\xff\xff", lo=low)
-        for i in range(low, high):
-            yield self.positions[i], common(self.suffixes[i], suffix)
-
-
-def common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, dtype=">u4", count=n // 4), np.frombuffer(b, dtype=">u4", count=n // 4)
-    return int(np.argmax(x != y))
+            self.ids[at : at + len(d)] = d
+        goes_on = np.append(_member(self.ids[:-1].astype(np.int64) << 32 | self.ids[1:], block.pairs), False) & (self.ids > 0)
+        begins = goes_on | _member(self.ids.astype(np.int64), block.singles) & (self.ids > 0)
+        reached = begins.copy()
+        reached[1:] |= goes_on[:-1]
+        starts = np.flatnonzero(reached)
+        rank = ranks(self.ids, goes_on, starts)
+        keep = begins[starts]
+        self.positions = starts[keep][np.argsort(rank[keep], kind="stable")]
+        ends = np.flatnonzero(~goes_on)
+        stop = np.minimum(ends[np.searchsorted(ends, self.positions)] + 1, self.positions + block.window)
+        data = self.ids.astype(">u4").tobytes()
+        self.heads = [data[4 * a : 4 * b] for a, b in zip(self.positions.tolist(), stop.tolist(), strict=True)]
+
+    def occurrences(self, window: bytes) -> np.ndarray:
+        """The positions whose suffixes begin with a window."""
+        low = bisect_left(self.heads, window)
+        high = bisect_left(self.heads, window + b"\xff\xff\xff\xff", lo=low)
+        return self.positions[low:high]
+
+
+def common(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
+    """Words that a from i on and b from j on share; a 0 ends both."""
+    n, step = 0, 16
+    while True:
+        x, y = a[i + n : i + n + step], b[j + n : j + n + step]
+        m = min(len(x), len(y))
+        if not m:
+            return n
+        wrong = np.flatnonzero((x[:m] != y[:m]) | (x[:m] == 0))
+        if len(wrong):
+            return n + int(wrong[0])
+        n, step = n + m, 2 * step
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     block = block.value
-    for rows in batches:
+    for rows in portions(batches, 1):
         shard = Shard([block.numbers(words(t.as_py())) for t in rows.column(1)], block)
         before = rows.column(2).to_pylist()
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[int]] = {}
-        best: dict[int, tuple[int, int, int]] = {}
-        for (suffix, size), owners in block.lookups.items():
-            for position, shared in shard.occurrences(suffix, size):
-                k = int(np.searchsorted(shard.first, position, side="right")) - 1
+        best: dict[int, tuple[int, bool, int, int]] = {}
+        for window, owners in block.windows.items():
+            found = shard.occurrences(window)
+            if not len(found):
+                continue
+            known = {item for item, _ in owners if item is not None}
+            of = np.searchsorted(shard.first, found, side="right") - 1
+            for position, k in zip(found.tolist(), of.tolist(), strict=True):
                 start = position - int(shard.first[k])
-                spans.setdefault(k, []).append((start, start + size // 4))
-                items.setdefault(k, set()).update(owners)
-                best[k] = max(best.get(k, (0, 0, 0)), (shared, -min(owners), -start))
+                spans.setdefault(k, []).append((start, start + len(window) // 4))
+                items.setdefault(k, set()).update(known)
+                left = int(shard.ids[position - 1]) if start else 0
+                for item, place in owners:
+                    if left and place and left == block.ids[place - 1]:
+                        continue  # goes on from a longer match
+                    shared = common(shard.ids, position, block.ids, place)
+                    best[k] = max(best.get(k, (0, False, 0, 0)), (shared, item is not None, -(item or 0), -start))
         out = []
         for k, n_words in enumerate(shard.sizes.tolist()):
             old = before[k] or {"spans": [], "items": [], "longest": 0, "longest_item": None, "longest_start": None}
@@ -148,7 +180,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            shared, item, start = best.get(k, (0, 0, 0))
+            shared, named, item, start = best.get(k, (0, False, 0, 0))
             newer = shared > old["longest"]
             out.append(
                 {
@@ -156,19 +188,20 @@ def _scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
                     "spans": [{"start": a, "end": b} for a, b in merged],
                     "items": sorted(items.get(k, set()) | set(old["items"])),
                     "longest": shared if newer else old["longest"],
-                    "longest_item": -item if newer else old["longest_item"],
+                    "longest_item": (-item if named else None) if newer else old["longest_item"],
                     "longest_start": -start if newer else old["longest_start"],
                 }
             )
         found = pa.array(out, type=rows.schema.field(2).type)
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), found], names=["row", "words_of", "found"])
+    release()
 
 
 def blocks(bench: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark, streamed to the driver in bounded blocks; items without words or id take no part."""
+    """The benchmark, streamed to the driver in bounded blocks; items without words take no part."""
     part, n = [], 0
     rows = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    for r in rows.where("item_id is not null and text is not null").toLocalIterator():
+    for r in rows.where("text is not null").toLocalIterator():
         ws = words(bytes(r["text"]))
         if not ws:
             continue
@@ -187,15 +220,16 @@ def find_contamination(
     so no column name can clash; found has n_words, merged word spans, item ids, and the longest match with its item and place.
 
     bench needs item_id and text. A null or empty text has no words. Rows of one item_id are one item for the
-    count of items. An item of fewer than ``window`` words is a single window. Ties for the longest match go to
-    the smallest item_id, then the first place. Empty tables give no rows, or no spans.
+    count of items; an item without id gives spans, but is not among the items. An item of fewer than ``window`` words is a
+    single window. Ties for the longest match go to the smallest item_id, then the first place. Repeated rows are searched
+    alike. Empty tables give no rows, or no spans.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
     at = docs.select(row, F.col("text").cast("string").cast("binary").alias("words_of"), F.lit(None).cast(_FOUND).alias("found"))
     spark = docs.sparkSession
     for block in blocks(bench, window, block_words):
         sent = spark.sparkContext.broadcast(block)
-        at = bounded(at).mapInArrow(lambda it, b=sent: _scan(it, b), at.schema)
+        at = at.mapInArrow(lambda it, b=sent: _scan(it, b), at.schema)
     return at.select("row", "found")
 
 
