@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import gzip
 import re
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_folder, table
+from .common import HOT_KEYS, Scratch, portions, release, table
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -89,21 +88,23 @@ def records_of(number: int, page_id, url, payload: bytes, digest: str, refers_to
 
 
 def _render(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for at in range(0, rows.num_rows, 200):
-            out: list[bytes] = []
-            for row in zip(*(c.to_pylist() for c in rows.slice(at, 200).columns), strict=True):
-                out += records_of(*row, segment)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+    for rows in portions(batches, 3):
+        out: list[bytes] = []
+        for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            out += records_of(*row, segment)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+    release()
 
 
-def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
+def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, scratch: Scratch | None = None) -> None:
     """Write pages (page_id, url, html) as WARC files under path. Of equal payloads of at least DEDUPLICATED_FROM bytes
-    the largest page_id is the response and the rest are revisits of it.
+    the largest page_id is the response and the rest are revisits of it. Which one that is comes from digests, lengths and
+    ids alone; a payload that a large share of the rows has is joined with it where its rows are, the others by digest.
 
     A null html is an empty payload, a null url leaves the target out. A null page_id sorts below all others and is
     written as such; rows that repeat the largest page_id are responses all. An empty table writes no record.
     """
+    scratch = scratch or Scratch(pages.sparkSession, "warc-best")
     rows = pages.select(
         F.monotonically_increasing_id().alias("number"),
         F.col("page_id").cast("long").alias("page_id"),
@@ -117,12 +118,19 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         .groupBy(F.col("digest"), size.cast("long").alias("n"))
         .agg(F.max("page_id").alias("keep"), F.count("*").alias("copies"))
         .where("copies > 1 and keep is not null")
-        .select("digest", "n", "keep")
+        .select(F.concat_ws(":", "digest", "n").alias("key"), "keep", "copies")
     )
-    joined = rows.withColumn("n", size.cast("long")).join(best, ["digest", "n"], "left")
+    best = scratch.keep(best, "best")
+    # at most HOT_KEYS payloads can have a HOT_KEYS-th of the copies each
+    least = max(64, int(best.agg(F.sum("copies")).first()[0] or 0) // HOT_KEYS)
+    hot = best.where(F.col("copies") >= least).select("key", F.col("keep").alias("hot"))
+    rest = best.where(F.col("copies") < least).select("key", F.col("keep").alias("rest"))
+    keyed = rows.withColumn("key", F.concat_ws(":", "digest", size.cast("long"))).join(F.broadcast(hot), "key", "left")
+    keyed = keyed.withColumn("key", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.concat(F.lit("#"), "number")))
+    joined = keyed.join(rest, "key", "left").withColumn("keep", F.coalesce("hot", "rest"))
     refers = F.when(F.coalesce(F.col("page_id") < F.col("keep"), F.col("keep").isNotNull()), F.col("keep"))
     shaped = joined.select("number", "page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    out = bounded(shaped).mapInArrow(lambda it: _render(it, segment), "record binary").select(F.col("record").cast("string").alias("value"))
+    out = shaped.mapInArrow(lambda it: _render(it, segment), "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
@@ -177,7 +185,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the WARC files under path, segments apart."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return bounded(files).mapInArrow(_read, _RECORD)
+    return files.mapInArrow(_read, _RECORD)
 
 
 def _join_segments(part: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +207,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
+    for rows in portions(batches, 5):
         out, sizes = [], []
         for block in rows.column("block"):
             head, _, body = block.as_py().partition(b"\r\n\r\n")
@@ -215,12 +223,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, kind, url, digest, refers_to, payload, stated_bytes) of each whole record under path; the payload of
     a revisit is empty, its length is the stated one."""
     shape = "record_id string, kind string, url string, digest string, refers_to string, payload binary, stated_bytes long"
-    return bounded(reassemble(read_records(spark, path))).mapInArrow(_payloads, shape)
+    return reassemble(read_records(spark, path)).mapInArrow(_payloads, shape)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/paperloom/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
+    scratch = Scratch(spark, "op10")
+    path = scratch.place("archives")
+    write_warc(table(spark, sf_dir, "pages"), path, scratch=scratch)
     back = read_warc(spark, path)
     response = F.col("kind") == "response"
     return back.select(
