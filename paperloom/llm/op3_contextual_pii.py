@@ -10,8 +10,9 @@ least ``SUPPORT`` different trusted values of the kind: seeds, and values whose
 before, so values that one context discovers can make another one a pattern. In the end a context with a score of at least
 ``CONFIDENT`` is a pattern, and the mentions it surrounds whose form suits its kind are added.
 
-All of it is DataFrame and SQL functions. Texts are read once and never shuffled; only mentions are. Edges are summed
-before they are joined, so a context or value that holds a large share of all mentions is one row by task at first.
+All of it is DataFrame and SQL functions. Texts are read and searched once. Finding shuffles mentions only; ``redact`` keeps
+the texts with what was found in them and joins the discovered spans by row number, which no key can make uneven. Edges are
+summed before they are joined, so a context or value that holds a large share of all mentions is one row by task at first.
 The patterns need time linear in the text: their repetitions are possessive and start at the start of a run.
 """
 
@@ -22,7 +23,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from ..functions.text import find_all
+from .common import Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -46,17 +48,9 @@ _SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """All matches, left to right, with their code-point offsets, in one fold over matches and the gaps between."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"]).cast("long")
-        b = a + F.length(x["h"]).cast("long")
-        found = F.struct(a.alias("start"), b.alias("end"), x["h"].alias("value"))
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    """All matches, left to right, with their code-point offsets."""
+    found = find_all(text, pattern)
+    return F.transform(found, lambda m: F.struct(m["start"].cast("long").alias("start"), m["end"].cast("long").alias("end"), m["hit"].alias("value")))
 
 
 def digits(value: Column) -> Column:
@@ -78,7 +72,7 @@ def valid(kind: str, value: Column) -> Column:
     """Whether a match of a kind's pattern passes the kind's check."""
     n = F.length(digits(value))
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)") <= 255, F.lit(False)))
+        return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
         return F.when((n >= 12) & (n <= 19), luhn(digits(value))).otherwise(False)
     if kind == "phone":
@@ -107,11 +101,12 @@ def fits_any(value: Column) -> Column:
     return functools.reduce(lambda a, b: a | b, [suits(F.lit(k), value) for k in KINDS])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """Per row of docs: (uid, row, email, ip, card, phone, mentions), arrays of spans; mentions are the identifier-like
-    tokens and runs of digit groups that no seed overlaps, with 80 characters of text before and behind each one, and the seeds likewise."""
+    tokens and runs of digit groups that no seed overlaps, with 80 characters of text before and behind each one, and the seeds likewise.
+    row has the columns of docs, without the text unless it is kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.xxhash64("text").alias("text_hash")).alias("row")
+    row = F.struct(*([F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"] or [F.lit(True).alias("none")])).alias("row")
     found = docs.select(F.monotonically_increasing_id().alias("uid"), row, text.alias("text"))
     found = found.select("uid", "row", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     seeds = F.concat(*[_all_of_kind(F.col(k), F.lit(k)) for k in KINDS])
@@ -168,13 +163,13 @@ def contexts(scanned: DataFrame) -> DataFrame:
     return shaped.select("uid", "start", "end", "kind", "value", "fits", F.explode("forms").alias("context"))
 
 
-def patterns(mentions: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
+def patterns(mentions: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(context, kind, score): the contexts that the graph of contexts and values finds trustworthy for a kind."""
-    edges = materialise(mentions.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed"), F.max("fits").alias("fits")), "op3-edges")
+    edges = scratch.keep(mentions.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("seed"), F.max("fits").alias("fits")), "edges")
     able = F.col("seed").isNotNull() | (F.size("fits") > 0)
     # a context with fewer values that could ever be trusted than support asks for is no pattern in any round: the graph is cut to the others
-    totals = materialise(edges.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(able).alias("able")).where(F.col("able") >= support).drop("able"), "op3-totals")
-    graph = materialise(edges.where(able).join(totals, "context", "left_semi"), "op3-graph")
+    totals = scratch.keep(edges.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(able).alias("able")).where(F.col("able") >= support).drop("able"), "totals")
+    graph = scratch.keep(edges.where(able).join(totals, "context", "left_semi"), "graph")
     fixed = edges.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
     scores = fixed
     best = None
@@ -182,22 +177,23 @@ def patterns(mentions: DataFrame, rounds: int = ROUNDS, confident: float = CONFI
         trusted = F.count_if(F.col("score") >= confident)
         sums = graph.join(scores, "value").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"), trusted.alias("trusted"))
         backed = sums.where(F.col("trusted") >= support)
-        best = materialise(backed.join(totals, "context").select("context", "kind", (F.col("s") / (F.col("total") + 1)).alias("score")), "op3-patterns")
+        best = scratch.keep(backed.join(totals, "context").select("context", "kind", (F.col("s") / (F.col("total") + 1)).alias("score")), "patterns")
         spread = graph.where("seed is null").join(best, "context").where("array_contains(fits, kind)")
         found = spread.groupBy("value", "kind").agg(F.max("score").alias("score"))
-        scores = materialise(fixed.unionByName(found.join(fixed, ["value", "kind"], "left_anti")), "op3-scores")
+        scores = scratch.keep(fixed.unionByName(found.join(fixed, ["value", "kind"], "left_anti")), "scores")
     return best.where(F.col("score") >= confident)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """(row, spans, base) for every row of docs (text string): row holds its other columns as a struct, base and spans are
-    arrays of (start, order, end, kind) sorted by start, then kind; spans has the discovered ones too.
+def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """(row, spans, base) for every row of docs (text string): row holds its other columns as a struct (and the text, if it is
+    kept), base and spans are arrays of (start, order, end, kind) sorted by start, then kind; spans has the discovered ones too.
 
     A null text counts as empty and has no spans. Rows that repeat are searched alike. An empty table gives no rows.
     """
-    scanned = materialise(scan(docs), "op3-scan")
+    scratch = Scratch(docs.sparkSession, "op3")
+    scanned = scratch.keep(scan(docs, keep_text), "scan")
     mentions = contexts(scanned)
-    trusted = patterns(mentions)
+    trusted = patterns(mentions, scratch)
     found = mentions.where("kind is null").drop("kind").join(trusted, "context").where("array_contains(fits, kind)")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     best = found.groupBy("uid", "start", "end").agg(F.max(F.struct("score", (-order).alias("order"), "kind")).alias("b"))
@@ -231,12 +227,12 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, other columns) with every span of personal data replaced in its text. A null text stays."""
-    found = find_pii(docs).where(F.size("spans") > 0).select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["_id", "_hash"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left")
-    changed = F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return joined.withColumn("text", changed).select(*[f"`{c}`" for c in docs.columns])
+    """docs (text, other columns) with every span of personal data replaced in its text. A null text stays null, and all other
+    columns stay as they are, whatever their names; repeated rows are redacted alike; an empty table gives no rows."""
+    found = find_pii(docs, keep_text=True)
+    text = F.col("row.text").cast("string")
+    changed = F.when(F.size("spans") > 0, redacted(text, F.col("spans"))).otherwise(text)
+    return found.select(*[(changed if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_contextual_pii(spark, sf_dir: str) -> DataFrame:
