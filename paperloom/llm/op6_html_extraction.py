@@ -21,13 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import portions, release, table
 
 TRAIN_PAGES = 400
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+_TEXT = re.compile(r"[^<]+")
+#: A tag whose quoted attributes may hold a >, and one whose quotes do not match. Neither pattern goes back over what it has read.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 RAW = {"script", "style", "noscript", "template", "title", "iframe", "textarea", "svg", "object"}
+#: Raw elements that reach to the end of the page if they are not closed; the others then count as ordinary ones.
+TO_THE_END = {"script", "style"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
@@ -64,14 +69,59 @@ class Block:
         self.text, self.flags, self.tag, self.links = text, flags, tag, links
 
 
+class _Stack:
+    """The open elements, with the places of each name and of the elements that are no inline ones."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, flags: int) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append((name, flags))
+
+    def close(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(self.items) > depth:
+            name, _ = self.items.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the last element of its name; that of an inline element closes no block."""
+        at = self.places.get(name)
+        if at and (name not in INLINE or at[-1] > self.block()):
+            self.close(at[-1])
+
+    def block(self) -> int:
+        """The place of the innermost element that is no inline one, or -1."""
+        return self.blocks[-1] if self.blocks else -1
+
+    def block_name(self) -> str:
+        return self.items[self.blocks[-1]][0] if self.blocks else "body"
+
+    def flags(self) -> int:
+        return self.items[-1][1] if self.items else 0
+
+    def in_link(self) -> bool:
+        return bool(self.places.get("a"))
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, their character references decoded and white space made single."""
+    """The leaf blocks of a page in order, their character references decoded and white space made single. The time is
+    linear in the page, however it is nested and whatever is left open."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked, in_link = 0, 0
+    linked = 0
     page = page or ""
+    last_end = page.rfind(">")
     lower = None
+    missing: set[str] = set()
     at = 0
 
     def flush() -> None:
@@ -79,57 +129,61 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            tag = next((t for t, _ in reversed(stack[-6:]) if t not in INLINE), "body")
-            out.append(Block(text, stack[-1][1] if stack else 0, tag, linked))
+            out.append(Block(text, stack.flags(), stack.block_name(), linked))
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+    def say(text: str) -> None:
+        nonlocal linked
+        text = html_module.unescape(text) if "&" in text else text
+        parts.append(text)
+        if stack.in_link():
+            linked += len(text.strip())
 
-    scan = _TOKEN.match
     while at < len(page):
-        m = scan(page, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[4] is not None:
-                text = html_module.unescape(m[4]) if "&" in m[4] else m[4]
-                parts.append(text)
-                if in_link:
-                    linked += len(text.strip())
+        if page[at] != "<":
+            m = _TEXT.match(page, at)
+            say(m[0])
+            at = m.end()
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), at) and at < last_end:
+            at = page.find(">", at) + 1
+            continue
+        m = (_TAG.match(page, at) or _LOOSE_TAG.match(page, at)) if at < last_end else None
+        if m is None:  # no tag, or one that never ends
+            if page[at + 1 : at + 2].isascii() and page[at + 1 : at + 2].isalpha() and at > last_end:
+                break
+            say("<")
+            at += 1
             continue
-        name = name.lower()
+        at = m.end()
+        name = m[2].lower()
         if m[1]:
             if name not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break
+            stack.end(name)
             continue
         if name in RAW:
             if m[3].endswith("/"):
                 continue
             lower = lower if lower is not None else page.lower()
-            if len(lower) != len(page):  # a letter whose lower case is longer
-                end = re.compile(rf"</{re.escape(name)}", re.I).search(page, at)
-                end = end.start() if end else -1
+            if name in missing:
+                end = -1
+            elif len(lower) != len(page):  # a letter whose lower case is longer
+                found = re.compile(rf"</{re.escape(name)}", re.I).search(page, at)
+                end = found.start() if found else -1
             else:
                 end = lower.find(f"</{name}", at)
-            if name not in INLINE and name != "noscript":
-                flush()
-            if end < 0:
-                at = len(page)
-            else:
-                close_at = page.find(">", end)
+            if end >= 0 or name in TO_THE_END:
+                if name not in INLINE and name != "noscript":
+                    flush()
+                close_at = page.find(">", end) if end >= 0 else -1
                 at = len(page) if close_at < 0 else close_at + 1
-            continue
+                continue
+            missing.add(name)
         if name == "br":
             parts.append(" ")
             continue
@@ -137,23 +191,18 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             if name in VOID:
                 continue
-            shut = CLOSES.get(name, ())
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                if stack[i][0] == "p" or stack[i][0] in shut:
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if stack.block_name() == "p" or stack.block_name() in CLOSES.get(name, ()):
+                if stack.blocks:
+                    stack.close(stack.block())
         elif name in VOID:
             continue
-        flags = (stack[-1][1] if stack else 0) | _TAG_BIT.get(name, 0)
+        flags = stack.flags() | _TAG_BIT.get(name, 0)
         if m[3]:
             for found in _NAMES.findall(m[3]):
                 for word in _SPLIT.split(max(found).lower()):
                     if word in _GROUP_OF:
                         flags |= _GROUP_BIT[_GROUP_OF[word]]
-        stack.append((name, flags))
-        in_link += name == "a"
+        stack.push(name, flags)
     flush()
     return out
 
@@ -355,9 +404,10 @@ def main_text(page: str | None, chain: Chain) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], chain) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
+    for rows in portions(batches, 1):
         texts = [main_text(p.as_py(), chain.value) for p in rows.column(1)]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
+    release()
 
 
 def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -367,7 +417,7 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(trained())
     shaped = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep or pages.columns]).alias("row"), F.col("html").cast("string").alias("html"))
     out = shaped.select("row", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return bounded(shaped).mapInArrow(lambda it: _extract(it, sent), out)
+    return shaped.mapInArrow(lambda it: _extract(it, sent), out)
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
