@@ -7,7 +7,8 @@ likelihood less a penalty of half the logarithm of the word count for each furth
 
 Trigram counts are gathered by a distributed sum from a bounded sample of labelled rows: of each language about
 ``TRAIN_ROWS`` rows of smallest hash (all if there are fewer), with their whole texts. Prediction reads each whole
-text once, without a shuffle; long texts are worked off in pieces, so memory is bounded by their number of words.
+text once, without a shuffle, a portion of at most a megabyte or one longer text at a time: memory is bounded by the words of a
+portion times the number of languages.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import portions, release, table
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 3000
@@ -87,7 +88,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for rows in batches:
+    for rows in portions(batches, 1):
         langs = rows.column(0).to_pylist()
         texts = rows.column(1).to_pylist()
         for lang in set(langs):
@@ -182,7 +183,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     part = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(chance < part[F.col("lang")]).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = bounded(sample).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS) for lang in sizes}
     for r in found.toLocalIterator():
         counts[r["lang"]][r["bucket"]] = r["n"]
@@ -193,11 +194,10 @@ _TYPE = "lang string, score double, langs array<string>, shares array<double>"
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for at in range(0, max(1, rows.num_rows), 500):
-            some = rows.slice(at, 500)
-            out = [dict(zip(("lang", "score", "langs", "shares"), x, strict=True)) for x in model.value.predict(some.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, type=rows.schema.field(2).type)], ["row", "found"])
+    for some in portions(batches, 1):
+        out = [dict(zip(("lang", "score", "langs", "shares"), x, strict=True)) for x in model.value.predict(some.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, type=some.schema.field(2).type)], ["row", "found"])
+    release()
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_R
     kept = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
     shaped = docs.select(kept, F.col("text").cast("string").alias("text"), F.lit(None).cast(f"struct<{_TYPE.replace(' ', ':').replace(',:', ', ')}>").alias("found"))
     out = shaped.select("row", "found").schema
-    return bounded(shaped).mapInArrow(lambda it: _predict(it, sent), out)
+    return shaped.mapInArrow(lambda it: _predict(it, sent), out)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
