@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialise, table
+from paperloom.llm.common import Scratch, table
 from paperloom.llm.op3_contextual_pii import redact
 from paperloom.llm.op5_ngram_join import keep_one_of_each
 from paperloom.llm.op7_decontamination import remove_contaminated
@@ -54,7 +54,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.free(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
