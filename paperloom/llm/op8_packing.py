@@ -8,9 +8,10 @@ merged: the least filled are dissolved, their pieces cut and moved into the gaps
 stays open, and that one is cut along the binary digits of its fill, as a sequence whose length is a power of
 two needs no padding.
 
-A partition is packed on its own, without a shuffle; the state is the level array and the open windows, at most
-one list of pieces for each, and a flush after ``flush`` open windows bounds it. sequence_id is the partition's
-number times 2**32 plus a running number, so a recomputed partition gives the same rows.
+A partition is packed on its own, without a shuffle; the state is the level array and the open windows with the ids of
+their pieces, which is at most the ids of one input partition (spark.sql.files.maxPartitionBytes of text). No number of open
+windows changes the rule. sequence_id is the partition's number times 2**32 plus a running number, so a recomputed partition
+gives the same rows.
 """
 
 from __future__ import annotations
@@ -34,11 +35,10 @@ Piece = tuple[int, int, int]  # document's running number, start, length
 class SumOfSquares:
     """The online packer. add() takes a document; closed windows, lists of pieces, come out of it and of finish()."""
 
-    def __init__(self, window: int = WINDOW, flush: int = 16_384):
-        self.window, self.flush = window, flush
+    def __init__(self, window: int = WINDOW):
+        self.window = window
         self.levels = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
-        self.n_open = 0
 
     def add(self, doc: int, length: int) -> Iterator[list[Piece]]:
         start = 0
@@ -59,7 +59,6 @@ class SumOfSquares:
         if best:
             pieces = self.open[best].pop()
             n[best] -= 1
-            self.n_open -= 1
         else:
             pieces = []
         pieces.append((doc, start, size))
@@ -68,14 +67,11 @@ class SumOfSquares:
             return
         self.open.setdefault(best + size, []).append(pieces)
         n[best + size] += 1
-        self.n_open += 1
-        if self.n_open >= self.flush:
-            yield from self.finish()
 
     def finish(self) -> Iterator[list[Piece]]:
         """Merge the open windows by cutting the least filled into the gaps of the fullest."""
         left = [(level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.levels[:] = 0
         low = len(left) - 1
         spare: list[Piece] = []
