@@ -2,20 +2,23 @@
 
 A token is the 64-bit hash of a shingle. All tokens are put into one order: first by the (logarithmic) count of their
 bucket in a sketch of ``2**SKETCH_BITS`` counters over the whole corpus, so that common tokens come last, then by hash.
-The prefix of a set of size s is its first s - ceil(t * s) + 1 tokens; two sets at the threshold t share a token of
-their prefixes, whatever the order. The sketch decides only how often sets that are not similar meet.
+The prefix of a set of size s is its first s - ceil(t * s) + l(s) tokens with l(s) = 1 + floor((1 - t) * s / 8); two sets at the
+threshold t share the lesser of their two l(s) tokens of their prefixes at least, whatever the order. The sketch decides only how
+often sets that are not similar meet.
 
 1. Texts with equal sets are collapsed to their smallest doc_id by a map-side minimum, so exact copies never meet again.
    Tokens that stand in one set's prefix only are dropped, and with them all sets that can have no partner.
-2. Similar sets are dealt into groups: a set's home is the commonest token of its prefix. A home is searched in units of
+2. Similar sets are dealt into groups: a set's home are the two commonest tokens of its prefix. A home is searched in units of
    bounded size, the heads of its units' clusters once more, for up to ``LEVELS`` levels. Inside a unit a small dense
    token-group matrix bounds the overlap of a set with each token group, and only groups that can qualify are opened.
    Clusters of linked sets, and sets without a link, are the groups of the next step.
 3. The token-group matrix of the corpus holds, for each token and group, the union of the members' prefixes: a row
    (token, group) with the range of the sizes of its members and the largest number of tokens that any of them has from
    that token on. Two sets at the threshold share a first token, from which on both have at least t / (1 + t) times the
-   sum of their sizes; the matrix bounds that for every two groups that share a token. Only groups that reach the
-   bound are opened, their members are held to the same bound, and what is left is compared, exactly.
+   sum of their sizes; the matrix bounds that for every two groups that share a token. For those that reach it, the smaller
+   group asks the larger: the number of tokens that the matrix has for both bounds the overlap of any two members, since what
+   they share outside their prefixes is at most the longer rest. Only groups that reach this bound, too, are opened: the sets
+   of the asking groups are compared, exactly, with the members, in units of bounded size.
 
 Steps 1 and 3 together find every link between different groups, so the components are exact, up to collisions of
 64-bit hashes. Nothing of the corpus goes to the driver but the sketch, one byte a counter.
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, partitions_for, portions, release, spread_join, table
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNK_BITS = 14
 #: Bounds of a unit: sets, shingles, and cells of its matrix.
 UNIT_DOCS = 512
 UNIT_SHINGLES = 2_000_000
 UNIT_CELLS = 64_000_000
 LEVELS = 3
+#: Members by which a cluster of one unit meets those of other units.
+KEPT = 8
 TOKEN_GROUP = 16
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -100,6 +105,24 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, places)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens that two sets have in common."""
+    both = np.sort(np.concatenate([x, y]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = _shared(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles; of its whole word sequence if it has fewer words."""
     words, first = word_hashes(texts)
@@ -114,7 +137,7 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
+            out.append(_distinct(whole[a : b - n + 1]))
         else:
             out.append(rolled(words[a:b], b - a) if b > a else np.empty(0, dtype=np.uint64))
     return out
@@ -158,9 +181,9 @@ def token_classes(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The first size - ceil(percent * size / 100) + 1 tokens of a set in the order of all tokens."""
+    """The prefix of a set in the order of all tokens."""
     size = len(shingles)
-    keep = min(size, size + 1 + -percent * size // 100) if size else 0
+    keep = min(size, size + 1 + -percent * size // 100 + (100 - percent) * size // 800) if size else 0
     key = classes[shingles >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | shingles >> np.uint64(8)
     return shingles[np.argsort(key, kind="stable")[:keep]]
 
@@ -194,6 +217,8 @@ class UnionFind:
 def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (i, j) with 100 * intersection >= percent * union, enough of them to connect every linked pair of sets. Its
     matrix takes at most a byte for each token and set."""
+    if len(sets) <= 3:  # too few for a matrix to pay
+        return [(i, j) for i in range(len(sets)) for j in range(i) if _linked(sets[i], sets[j], percent)]
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
     local = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
@@ -236,8 +261,8 @@ def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _heads(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, rep, text) come sorted by unit, a bounded set of documents. Gives (a, b): each set's link to the smallest
-    of its cluster in the unit."""
+    """Rows (unit, rep, text) come sorted by unit, a bounded set of documents. Gives (a, b, kept): each set's link to the smallest
+    of its cluster in the unit; kept are that and KEPT - 1 others of a cluster."""
     unit, held = None, []
 
     def solve() -> pa.RecordBatch:
@@ -250,8 +275,13 @@ def _heads(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
         for i, (rep, _) in enumerate(seen):
             root = parts.find(i)
             low[root] = min(rep, low.get(root, rep))
-        ends = [(rep, low[parts.find(i)]) for i, (rep, _) in enumerate(seen)]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, b in ends if a != b], pa.int64()), pa.array([b for a, b in ends if a != b], pa.int64())], ["a", "b"])
+        ends = sorted({(rep, low[parts.find(i)]) for i, (rep, _) in enumerate(seen) if rep != low[parts.find(i)]}, key=lambda e: (e[0] * _ODD) % 2**64)
+        count: dict[int, int] = {}
+        kept = []
+        for _, b in ends:
+            count[b] = count.get(b, 0) + 1
+            kept.append(count[b] < KEPT)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.int64()), pa.array([b for _, b in ends], pa.int64()), pa.array(kept, pa.bool_())], ["a", "b", "kept"])
 
     for rows in portions(batches, 2):
         for u, rep, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
@@ -266,16 +296,36 @@ def _heads(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
     release()
 
 
-def _compare(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text of a, text of b); gives the links among them."""
-    for whole in portions(batches, 2):
-        for rows in portions(iter([whole]), 3):
-            texts = rows.column(2).to_pylist() + rows.column(3).to_pylist()
-            sets = shingle_sets(texts, n)
-            k = rows.num_rows
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:k], sets[k:], strict=True)]
-            good = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(both, sets[:k], sets[k:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _open(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, asks, grp, rep, text) come sorted by unit, the opened group's members before the sets that ask. Gives (a, b):
+    a set that asks and a member it is linked with, once for each asking group and unit."""
+    unit, members, flat, starts, sizes, done = None, [], None, None, None, set()
+    names = ["a", "b"]
+    for rows in portions(batches, 4):
+        found = []
+        sets = shingle_sets(rows.column(4).to_pylist(), n)
+        for u, asks, grp, rep, tokens in zip(*(rows.column(i).to_pylist() for i in range(4)), sets, strict=True):
+            if u != unit:
+                unit, members, flat, done = u, [], None, set()
+            if not asks:
+                if len(tokens):
+                    members.append((rep, tokens))
+                continue
+            if not members or not len(tokens) or grp in done:
+                continue
+            if flat is None:
+                flat = np.concatenate([t for _, t in members])
+                sizes = np.array([len(t) for _, t in members])
+                starts = np.cumsum(sizes) - sizes
+            at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+            both = np.add.reduceat(tokens[at] == flat, starts, dtype=np.int64)
+            good = np.flatnonzero(100 * both >= percent * (len(tokens) + sizes - both))
+            if len(good):
+                found.append((rep, members[int(good[0])][0]))
+                done.add(grp)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names)
+    members.clear()
+    flat = None
     release()
 
 
@@ -290,8 +340,9 @@ def _can_link(percent: int, size_a, size_b, rest_a, rest_b) -> Column:
 def _first_links(work: DataFrame, rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Links that tie the sets of a home together as far as they are found alike. work: (w, rep, n, r, c), c being the
     token's number of sets."""
-    best = F.max_by("w", F.struct("c", F.xxhash64("w")))
-    state = scratch.keep(work.groupBy("rep").agg(best.alias("home"), F.max("n").alias("n")), "state")
+    # a list here is a part of one set's prefix
+    tops = F.slice(F.sort_array(F.collect_list(F.struct("c", F.xxhash64("w").alias("h"), "w")), asc=False), 1, 2)["w"]
+    state = scratch.keep(work.groupBy("rep").agg(F.xxhash64(F.sort_array(tops)).alias("home"), F.max("n").alias("n")), "state")
     links = None
     for level in range(LEVELS):
         totals = state.groupBy("home").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
@@ -303,39 +354,63 @@ def _first_links(work: DataFrame, rows: DataFrame, scratch: Scratch, n: int, per
         texts = scratch.keep(rows.withColumnRenamed("doc_id", "rep").join(placed.select("rep", "unit"), "rep").select("unit", "rep", "text"), f"texts-{level}")
         parts = partitions_for(texts.sparkSession, scratch.size(f"texts-{level}"), 8 << 20)
         dealt = texts.repartition(parts, "unit").sortWithinPartitions("unit")
-        found = scratch.keep(dealt.mapInArrow(lambda it: _heads(it, n, percent), "a long, b long"), f"heads-{level}")
+        found = scratch.keep(dealt.mapInArrow(lambda it: _heads(it, n, percent), "a long, b long, kept boolean"), f"heads-{level}")
         scratch.free(f"texts-{level}")
-        links = found if links is None else links.union(found)
+        links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
         more = placed.where("blocks > 1")
         if more.isEmpty():
             break
-        state = scratch.keep(more.join(found.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti").select("rep", "home", "n"), "state")
+        state = scratch.keep(more.join(found.where("not kept").select(F.col("a").alias("rep")).distinct(), "rep", "left_anti").select("rep", "home", "n"), "state")
     return links
 
 
 def _other_links(work: DataFrame, links: DataFrame, rows: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Every link between sets of different groups. The groups are the components of links."""
-    groups = connected_components(links, scratch, "op5-groups").withColumnsRenamed({"node": "rep", "root": "grp"})
-    work = scratch.keep(work.join(groups, "rep", "left").select("w", F.coalesce("grp", "rep").alias("grp"), "rep", "n", "r"), "work")
-    matrix = work.groupBy("w", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("rest"))
+    """Links that, with those given, connect all sets that are linked. The groups are the components of the links given."""
+    spark = rows.sparkSession
+    groups = scratch.keep(connected_components(links, scratch, "op5-groups").withColumnsRenamed({"node": "rep", "root": "grp"}), "groups")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"), F.count("*").alias("w"))
+    groups = scratch.keep(spread_join(groups, sizes, "grp", "w", groups.count()), "sized")
+    placed = work.join(groups, "rep", "left").select("w", F.coalesce("grp", "rep").alias("grp"), "rep", "n", "r", F.coalesce("members", F.lit(1)).alias("members"))
+    work = scratch.keep(placed, "work")
+    matrix = work.groupBy("w", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("rest"), F.max("members").alias("members"))
     matrix = scratch.keep(matrix, "matrix")
     shared = scratch.keep(matrix.groupBy("w").agg(F.count("*").alias("groups")).where("groups > 1"), "shared")
     cells = scratch.keep(spread_join(matrix, shared, "w", "groups", matrix.count()), "cells")
+    # first bound: what two groups can have from a shared token on
     a, b = cells.alias("a"), cells.alias("b")
     able = _can_link(percent, (F.col("a.low"), F.col("a.high")), (F.col("b.low"), F.col("b.high")), F.col("a.rest"), F.col("b.rest"))
-    opened = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.grp") < F.col("b.grp")) & able)
-    opened = scratch.keep(opened.select("a.w", F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")), "opened")
-    x = work.select("w", F.col("grp").alias("ga"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    y = work.select(F.col("w").alias("wb"), F.col("grp").alias("g"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    able = _can_link(percent, (F.col("na"), F.col("na")), (F.col("nb"), F.col("nb")), F.col("ra"), F.col("rb"))
-    asked = opened.join(x, ["w", "ga"])
-    pairs = asked.join(y, (F.col("w") == F.col("wb")) & (F.col("gb") == F.col("g")) & able).select("a", "b").distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = scratch.keep(rows.join(needed, "doc_id", "left_semi"), "pair-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    found = scratch.keep(both.select("a", "b", "x", "y").mapInArrow(lambda it: _compare(it, n, percent), "a long, b long"), "links")
-    scratch.free("work", "matrix", "shared", "cells", "opened", "pairs", "pair-texts")
+    smaller = F.struct("a.members", "a.grp") < F.struct("b.members", "b.grp")
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & smaller & able).select(F.col("a.grp").alias("q"), F.col("b.grp").alias("g")).distinct()
+    met = scratch.keep(met, "met")
+    # second bound: c shared tokens, and at most the longer rest of the two sets outside their prefixes
+    asked = met.join(cells.select("w", F.col("grp").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q")), "q")
+    asked = asked.join(cells.select("w", F.col("grp").alias("g"), "low", "high"), ["w", "g"]).groupBy("q", "g")
+    counts = asked.agg(F.count("*").alias("c"), F.least(F.min("low_q"), F.min("low")).alias("low"), F.greatest(F.max("high_q"), F.max("high")).alias("high"))
+    t, q = percent / 100, (100 - percent) / 800
+    least = t / (1 + t) * F.col("low") - (t * t / (1 + t) - q) * F.col("high")
+    opened = scratch.keep(counts.where(F.col("c") + 1 >= least - 1e-6).select("q", "g"), "opened")
+    # the sets that ask come to the units of the opened group
+    members = scratch.keep(work.select("grp", "rep", "n").distinct(), "members")
+    asking = scratch.keep(opened.join(members.withColumnRenamed("grp", "q"), "q").select("g", "q", "rep", "n"), "asking")
+    room = F.greatest(F.count("*") / UNIT_DOCS, F.sum("n") / UNIT_SHINGLES)
+    blocks = asking.groupBy("g").agg(F.ceil(room).cast("long").alias("q_blocks"), F.count("*").alias("n_asking"))
+    own = members.withColumnRenamed("grp", "g")
+    own = spread_join(own, blocks.join(own.groupBy("g").agg(F.count("*").alias("w")), "g"), "g", "w", own.count())
+    own = scratch.keep(own.select("g", "rep", "n", "q_blocks", "n_asking"), "own")
+    m_blocks = own.groupBy("g").agg(F.ceil(room).cast("long").alias("m_blocks"), F.max("q_blocks").alias("q_blocks"), F.max("n_asking").alias("n_asking"), F.count("*").alias("n_own"))
+    m_blocks = scratch.keep(m_blocks, "blocks")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    one = lambda blocks, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), blocks)
+    held = spread_join(own.select("g", "rep"), m_blocks, "g", "n_own", own.count())
+    held = held.select("g", F.lit(False).alias("asks"), F.col("g").alias("grp"), "rep", one("m_blocks", "member").alias("m"), every("q_blocks").alias("k"))
+    come = spread_join(asking.select("g", "q", "rep"), m_blocks, "g", "n_asking", asking.count())
+    come = come.select("g", F.lit(True).alias("asks"), F.col("q").alias("grp"), "rep", every("m_blocks").alias("m"), one("q_blocks", "asks").alias("k"))
+    units = scratch.keep(held.unionByName(come).select(F.xxhash64("g", "m", "k").alias("unit"), "asks", "grp", "rep"), "units")
+    texts = rows.withColumnRenamed("doc_id", "rep").join(units, "rep").select("unit", "asks", "grp", "rep", "text")
+    texts = scratch.keep(texts, "unit-texts")
+    dealt = texts.repartition(partitions_for(spark, scratch.size("unit-texts"), 8 << 20), "unit").sortWithinPartitions("unit", "asks")
+    found = scratch.keep(dealt.mapInArrow(lambda it: _open(it, n, percent), "a long, b long"), "links")
+    scratch.free("groups", "sized", "work", "matrix", "shared", "cells", "met", "opened", "members", "asking", "own", "blocks", "units", "unit-texts")
     return found
 
 
