@@ -49,21 +49,19 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(hits.alias("h"), values.alias("v"), gaps.alias("g"))
-    none = F.array().cast(MATCH)
+    none, blocks = F.array().cast(MATCH), F.array().cast(f"array<{MATCH}>")
+    start = F.struct(F.lit(0).alias("at"), blocks.alias("out"), none.alias("block"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["g"])
         b = a + F.length(x["h"])
         one = F.struct(x["h"].alias("hit"), x["v"].alias("value"), a.alias("start"), b.alias("end"))
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+        full = F.size(acc["block"]) == BLOCK
+        out = F.when(full, F.concat(acc["out"], F.array(acc["block"]))).otherwise(acc["out"])
+        block = F.concat(F.when(full, none).otherwise(acc["block"]), F.array(one))
+        return F.when(x["h"].isNull(), acc).otherwise(F.struct(b.alias("at"), out.alias("out"), block.alias("block")))
 
-    def block(r: Column, acc: Column, i: Column) -> Column:
-        found = F.aggregate(F.slice(r, i * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return let(found, lambda f: F.struct(f["at"].alias("at"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
-    whole = lambda r: F.aggregate(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int")), start, lambda acc, i: block(r, acc, i), lambda acc: F.flatten(acc["out"]))
-    return let(rows, whole)
+    return F.aggregate(rows, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["block"]))))
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:

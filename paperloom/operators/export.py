@@ -17,6 +17,13 @@ def _check(format: str) -> None:
         raise ValueError(f"unknown format {format!r}: one of {', '.join(FORMATS)} is needed")
 
 
+def requested(documents: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents to export, rejects with code 404) of asked (id): a document that is missing or not completed is rejected."""
+    from .store import found_or_404
+
+    return found_or_404(documents, asked, "completed", "Document not found or not ready")
+
+
 def to_json(documents: DataFrame, extractions: DataFrame) -> DataFrame:
     """(document_id, json): the fields of each completed document."""
     from .store import with_fields

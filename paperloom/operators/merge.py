@@ -27,12 +27,17 @@ def extract_all(text: Column, options: EngineOptions = EngineOptions()) -> Colum
         "invoice_number": invoice_numbers(text), "url": urls(text),
     }
     found = ner.recognise(text, options)
-    if found is not None:
-        parts |= {
-            "person_name": ner.person_names(found), "company_name": let(ner.company_names(text, found), lambda c: F.concat(c["vendor"], c["customer"])),
-            "address": addresses(text), "job_title": job_titles(text), "skill": skills(text),
-        }
-    whole = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast(FIELDS))])
+    keyed = lambda some: [x for k, v in some.items() for x in (F.lit(k), v.cast(FIELDS))]
+    if found is None:
+        whole = F.create_map(*keyed(parts))
+    else:
+        parts |= {"address": addresses(text), "job_title": job_titles(text), "skill": skills(text)}
+
+        def named(e: Column) -> Column:
+            companies = let(ner.company_names(text, e), lambda c: F.concat(c["vendor"], c["customer"]))
+            return F.create_map(*keyed(parts | {"person_name": ner.person_names(e), "company_name": companies}))
+
+        whole = let(found, named)
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{FIELDS}>"))
     return F.when(F.coalesce(text, F.lit("")) != "", whole).otherwise(empty)
 
@@ -45,6 +50,11 @@ def ratio(a: str, b: str) -> int:
     return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio())
 
 
+def _sure(field: dict) -> float:
+    """A field's confidence; one without counts as certain."""
+    return 1.0 if field["confidence"] is None else field["confidence"]
+
+
 def merged(primary: list[dict], secondary: list[dict]) -> list[dict]:
     """Each secondary field raises or lowers the confidence of the field it repeats, or is added. It repeats the most
     alike one (the first of equals) of those that are alike or whose span it overlaps; one that overlaps only and has
@@ -61,7 +71,7 @@ def merged(primary: list[dict], secondary: list[dict]) -> list[dict]:
                 if alike > best:
                     best, place = alike, i
         if repeated and place is not None:
-            out[place]["confidence"] = round(min(0.7 * out[place]["confidence"] + 0.3 * new["confidence"], 1.0), 4)
+            out[place]["confidence"] = round(min(0.7 * _sure(out[place]) + 0.3 * _sure(new), 1.0), 4)
         else:
             out.append(dict(new))
     return out
@@ -70,16 +80,23 @@ def merged(primary: list[dict], secondary: list[dict]) -> list[dict]:
 _SMALL = "array<struct<value:string,confidence:double,position:struct<start:int,end:int>>>"
 
 
-def merge_lists(primary: Column, secondary: Column) -> Column:
-    """merged() for each row: the fold depends on the order, so it runs row by row in Arrow batches, without a shuffle."""
+def _plain(fields) -> list[dict]:
+    return [] if fields is None else [{"value": f["value"], "confidence": f["confidence"], "position": f["position"]} for f in fields]
 
-    def plain(fields) -> list[dict]:
-        return [] if fields is None else [{"value": f["value"], "confidence": f["confidence"], "position": f["position"]} for f in fields]
+
+def merge_udf():
+    """merged() as a pandas UDF; it needs a session."""
 
     def rows(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([merged(plain(x), plain(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series([merged(_plain(x), _plain(y)) for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(rows, _SMALL)
 
-    return F.pandas_udf(rows, _SMALL)(primary, secondary)
+
+def merge_lists(primary: Column, secondary: Column) -> Column:
+    """merged() for each row. The fold depends on the order and on a ratio that no built-in function has, so it is a loop in
+    Python over each row's two lists, in Arrow batches and without a shuffle."""
+    return merge_udf()(primary, secondary)
 
 
 def merge_columns(df: DataFrame, primary: str, secondary: str, into: str) -> DataFrame:

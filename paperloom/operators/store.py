@@ -1,11 +1,13 @@
 """The three tables (documents, extractions, corrections) as DataFrame transformations.
 
-Every operation takes the present tables and returns the new ones; ``Store`` keeps them as versioned folders, written
-anew by each change and switched over by a marker, so readers never see half a change.
+Every operation takes the present tables and returns the new ones; ``Store`` keeps them as folders that a log of commits names,
+so rows can be appended and all tables switch at once.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -135,6 +137,28 @@ def delete_documents(documents: DataFrame, children: list[DataFrame], gone: Data
     return documents.join(ids, documents["id"] == ids["_gone"], "left_anti"), [c.join(ids, c["document_id"] == ids["_gone"], "left_anti") for c in children]
 
 
+def found_or_404(documents: DataFrame, asked: DataFrame, status: str | None = None, detail: str = "Document not found") -> tuple[DataFrame, DataFrame]:
+    """(documents asked for, rejects) of asked (id): rejects (id, code, detail) are ids without a document, or without one in
+    the given status."""
+    ids = asked.select("id").distinct()
+    ready = documents.where(F.col("status") == status) if status else documents
+    missing = ids.join(ready.select("id"), "id", "left_anti").select("id", F.lit(404).alias("code"), F.lit(detail).alias("detail"))
+    return ready.join(ids, "id", "left_semi"), missing
+
+
+def submit(documents: DataFrame, extractions: DataFrame, corrections: DataFrame, updates: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """correct() for the updates (document_id, field_key, new_value) of known documents, and rejects for the others."""
+    _, missing = found_or_404(documents, updates.select(F.col("document_id").alias("id")))
+    known = updates.join(missing.select(F.col("id").alias("document_id")), "document_id", "left_anti")
+    after, log = correct(extractions, corrections, known, now)
+    return after, log, missing
+
+
+def health(spark: SparkSession) -> DataFrame:
+    """One row (status, timestamp), as a sign of life of the session."""
+    return spark.range(1).select(F.lit("healthy").alias("status"), F.current_timestamp().alias("timestamp"))
+
+
 def status_view(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     """Of each upload (id, filename): its status and type; ``processing`` and - while there is none."""
     d = documents.select("id", F.col("status").alias("_s"), F.col("document_type").alias("_t"))
@@ -152,35 +176,131 @@ def updates_map(rows: DataFrame) -> DataFrame:
     return last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("Field", "Value"))).alias("updates"))
 
 
+class Conflict(RuntimeError):
+    """Another writer was faster; the change has to be made again on the new state."""
+
+
 class Store:
-    """The tables as Parquet folders under one path; a change writes a new version of what it touches."""
+    """The tables as Parquet folders under one path, and a log of commits that says which folders count.
+
+    ``append`` adds rows; a row of ``documents`` replaces the older row of its id, a group of ``extractions`` the older group of its
+    document and key. ``replace`` puts new contents in place of the old. Either writes its folders first and then one
+    commit, a file whose number must be new: all tables switch at once, readers never see half a change, and of two
+    writers that started from the same state one gets a ``Conflict``, or, if both append, simply comes second. A commit can
+    carry the key of its work, so that work which is repeated after a failure counts once. ``compact`` merges what was
+    appended, ``vacuum`` deletes folders that no commit of the last ones mentions.
+    """
 
     TABLES = {"documents": DOCUMENTS, "extractions": EXTRACTIONS, "corrections": CORRECTIONS}
+    KEYS = {"documents": ["id"], "extractions": ["document_id", "field_key"], "corrections": ["id"]}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def init(self) -> Store:
-        """Create the tables that do not exist."""
-        for name, schema in self.TABLES.items():
-            if self._version(name) is None:
-                self.write(name, self.spark.createDataFrame([], schema))
+        """Create the store if it does not exist."""
+        fs, log = self._fs("log")
+        fs.mkdirs(log)
+        if self.version() < 0:
+            try:
+                self._commit(0, {"folders": {name: [] for name in self.TABLES}, "done": []})
+            except Conflict:
+                pass
         return self
 
-    def _version(self, name: str) -> str | None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        done = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=None)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.TABLES[name]).parquet(self._version(name))
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """Write the next version; it counts once its folder is complete."""
-        before = self._version(name)
-        number = int(before.rsplit("/v", 1)[1].split("-")[0]) + 1 if before else 0
-        df.select(*[c.split()[0] for c in self.TABLES[name].split(", ")]).write.parquet(f"{self.path}/{name}/v{number:012d}-{uuid.uuid4().hex[:8]}")
+    def version(self) -> int:
+        """The number of the last commit, -1 before the first."""
+        fs, log = self._fs("log")
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        return max((int(n) for n in names if n.isdigit()), default=-1)
+
+    def state(self, version: int | None = None) -> dict:
+        """What a commit says: the folders of each table, as (folder, number of its commit), and the keys of done work."""
+        fs, file = self._fs(f"log/{self.version() if version is None else version:012d}")
+        stream = fs.open(file)
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _commit(self, number: int, state: dict) -> None:
+        fs, file = self._fs(f"log/{number:012d}")
+        _, draft = self._fs(f"log/.{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(json.dumps(state).encode())
+        out.close()
+        if fs.exists(file) or not fs.rename(draft, file):
+            fs.delete(draft, False)
+            raise Conflict(f"commit {number} exists")
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.select(*[c.split()[0] for c in self.TABLES[name].split(", ")]).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table's present rows, or those of an older commit."""
+        folders = self.state(version)["folders"][name]
+        if not folders:
+            return self.spark.createDataFrame([], self.TABLES[name])
+        parts = [self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{f}").withColumn("_commit", F.lit(n)) for f, n in folders]
+        rows = functools.reduce(DataFrame.unionByName, parts)
+        if len(parts) > 1 and name != "corrections":  # what was appended later stands for what it repeats
+            last = Window.partitionBy(*self.KEYS[name])
+            rows = rows.withColumn("_last", F.max("_commit").over(last)).where(F.col("_commit") == F.col("_last")).drop("_last")
+        return rows.drop("_commit")
+
+    def append(self, key: str | None = None, **tables: DataFrame) -> bool:
+        """Add rows to tables in one commit; False if work of this key was committed before."""
+        if key is not None and key in self.state()["done"]:
+            return False
+        folders = {name: self._write(name, df) for name, df in tables.items()}
+        while True:
+            number = self.version()
+            state = self.state(number)
+            if key is not None and key in state["done"]:
+                return False
+            for name, folder in folders.items():
+                state["folders"][name].append([folder, number + 1])
+            if key is not None:
+                state["done"] = [*state["done"], key][-1000:]
+            try:
+                self._commit(number + 1, state)
+                return True
+            except Conflict:
+                continue
+
+    def replace(self, since: int | None = None, **tables: DataFrame) -> None:
+        """Put new contents in place of the old, in one commit. since: the commit that they were made from; a Conflict if
+        there is a later one."""
+        number = self.version()
+        if since is not None and number != since:
+            raise Conflict(f"commit {since} is not the last one")
+        state = self.state(number)
+        for name, df in tables.items():
+            state["folders"][name] = [[self._write(name, df), number + 1]]
+        self._commit(number + 1, state)
+
+    def compact(self, *names: str) -> None:
+        """Merge the folders of tables to one each."""
+        number = self.version()
+        self.replace(number, **{name: self.read(name, number) for name in names or self.TABLES})
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete the folders that none of the last commits mentions, and older commits. To be run while no one writes."""
+        fs, log = self._fs("log")
+        last = self.version()
+        kept = [n for n in range(max(0, last - keep + 1), last + 1)]
+        named = {f for n in kept for fs_ in self.state(n)["folders"].values() for f, _ in fs_}
+        for status in fs.listStatus(log):
+            if status.getPath().getName().isdigit() and int(status.getPath().getName()) not in kept:
+                fs.delete(status.getPath(), False)
+        for name in self.TABLES:
+            _, folder = self._fs(name)
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                if f"{name}/{status.getPath().getName()}" not in named:
+                    fs.delete(status.getPath(), True)

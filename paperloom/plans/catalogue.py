@@ -19,6 +19,7 @@ from ..operators import correct, entities, export, fields, invoice, merge, recei
 from ..operators.classify import RULES, classify, label
 from ..schema import CORRECTIONS, DOCUMENTS, EXTRACTIONS, EngineOptions
 from ..sources import files
+from ..streaming import ingest
 from . import pipeline, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +168,7 @@ def date_normalise(spark, sf_dir):
 
 @query(
     _ORDERS
-    + """SELECT doc_id, 'INV-' || doc_id AS invoice_number, strftime(day, '%Y-%m-%d') AS invoice_date, strftime(day + 30, '%Y-%m-%d') AS due_date, 'PO-' || o_custkey AS po_number FROM o"""
+    + """SELECT doc_id, 'BL-' || doc_id AS invoice_number, strftime(day, '%Y-%m-%d') AS invoice_date, strftime(day + 30, '%Y-%m-%d') AS due_date, 'C-' || o_custkey AS po_number FROM o"""
 )
 def invoice_header(spark, sf_dir):
     found = render.invoices(spark, sf_dir).select("doc_id", invoice.header(F.col("text"), OPTIONS).alias("h"))
@@ -176,7 +177,7 @@ def invoice_header(spark, sf_dir):
 
 @query(
     _ORDERS
-    + """SELECT doc_id, 'Acme Supply Corp' AS vendor, 'Springfield, IL 62704' AS vendor_address, 'sales@acme.example.org' AS email, '(650) 253-0000' AS phone, 'Shelbyville, CA 90210' AS customer_address FROM o"""
+    + """SELECT doc_id, 'Brightleaf Tools LLC' AS vendor, 'Dover, DE 19901' AS vendor_address, 'billing@brightleaf.example.org' AS email, '(302) 253-0000' AS phone, 'Salem, OR 97301' AS customer_address FROM o"""
 )
 def invoice_parties(spark, sf_dir):
     found = render.invoices(spark, sf_dir).select("doc_id", invoice.parties(F.col("text"), OPTIONS).alias("p"))
@@ -187,7 +188,7 @@ def invoice_parties(spark, sf_dir):
 @query(
     _ORDERS
     + """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, qty, amount) - 1 AS INTEGER) AS place,
-  'Widget-' || l_partkey AS description, CAST(qty AS VARCHAR) AS quantity, CAST(amount AS VARCHAR) AS unit_price, CAST(amount AS VARCHAR) AS total_amount
+  'Bracket-' || l_partkey AS description, CAST(qty AS VARCHAR) AS quantity, CAST(amount AS VARCHAR) AS unit_price, CAST(amount AS VARCHAR) AS total_amount
 FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
 )
 def invoice_line_items(spark, sf_dir):
@@ -195,14 +196,14 @@ def invoice_line_items(spark, sf_dir):
     return rows.select("doc_id", "place", *[F.col(f"x.{k}.value").alias(k) for k in ("description", "quantity", "unit_price", "total_amount")])
 
 
-@query(_ORDERS + "SELECT doc_id, CAST(subtotal AS DOUBLE) AS subtotal, 10.0::DOUBLE AS tax, CAST(subtotal + 10 AS DOUBLE) AS total_amount, CAST(0 AS INTEGER) AS errors FROM o")
+@query(_ORDERS + "SELECT doc_id, CAST(subtotal AS DOUBLE) AS subtotal, 12.0::DOUBLE AS tax, CAST(subtotal + 12 AS DOUBLE) AS total_amount, CAST(0 AS INTEGER) AS errors FROM o")
 def invoice_totals(spark, sf_dir):
     text = F.col("text")
     found = render.invoices(spark, sf_dir).select("doc_id", let(invoice.line_items(text), lambda items: invoice.totals(text, items)).alias("t"))
     return found.select("doc_id", *[F.col(f"t.{k}.num_value").alias(k) for k in ("subtotal", "tax", "total_amount")], F.size("t.validation_errors").alias("errors"))
 
 
-@query(_ORDERS + "SELECT doc_id, 'Net 30' AS terms FROM o")
+@query(_ORDERS + "SELECT doc_id, 'Net 45' AS terms FROM o")
 def payment_terms(spark, sf_dir):
     return render.invoices(spark, sf_dir).select("doc_id", invoice.payment_terms(F.col("text"))["term_description"]["value"].alias("terms"))
 
@@ -224,7 +225,7 @@ def line_item_check(spark, sf_dir):
 @query(
     _ORDERS
     + """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, qty, amount) - 1 AS INTEGER) AS place,
-  'Gadget-' || l_partkey AS description, CAST(amount AS VARCHAR) AS total_price, '1' AS quantity FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
+  'Gasket-' || l_partkey AS description, CAST(amount AS VARCHAR) AS total_price, '1' AS quantity FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
 )
 def receipt_items(spark, sf_dir):
     rows = render.receipts(spark, sf_dir).select("doc_id", F.posexplode(receipt.items(F.col("text"))).alias("place", "x"))
@@ -233,7 +234,7 @@ def receipt_items(spark, sf_dir):
 
 @query(
     _ORDERS
-    + """SELECT doc_id, 'SuperMart ' || o_custkey AS merchant, 'Anytown, USA 12345' AS address, '(650) 253-0001' AS phone, strftime(day, '%Y-%m-%d') AS day, '14:30' AS time_of_day,
+    + """SELECT doc_id, 'Lakeside Market K' || o_custkey AS merchant, 'Aurora, IL 60505' AS address, '(630) 253-0001' AS phone, strftime(day, '%Y-%m-%d') AS day, '09:45' AS time_of_day,
   lpad(CAST(doc_id AS VARCHAR), 10, '0') AS receipt_number, CAST(doc_id % 9 + 1 AS VARCHAR) AS terminal_id FROM o"""
 )
 def receipt_transaction(spark, sf_dir):
@@ -243,7 +244,7 @@ def receipt_transaction(spark, sf_dir):
     return found.select("doc_id", *[F.col(f"{path}.value").alias(k) for k, path in named.items()], F.regexp_replace("t.time.value", r"\s+$", "").alias("time_of_day"))
 
 
-@query(_ORDERS + "SELECT doc_id, 'Visa' AS method, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS card_last_4, 'A' || o_custkey AS auth_code FROM o")
+@query(_ORDERS + "SELECT doc_id, 'MasterCard' AS method, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS card_last_4, 'Q' || o_custkey AS auth_code FROM o")
 def receipt_payment(spark, sf_dir):
     found = render.receipts(spark, sf_dir).select("doc_id", receipt.payment(F.col("text")).alias("p"))
     return found.select("doc_id", *[F.col(f"p.{k}.value").alias(k) for k in ("method", "card_last_4", "auth_code")])
@@ -255,7 +256,7 @@ def receipt_loyalty(spark, sf_dir):
     return found.select("doc_id", *[F.col(f"p.{k}.value").alias(k) for k in ("member_id", "points_balance")])
 
 
-@query(_ORDERS + "SELECT doc_id, CAST(subtotal + 1 AS DOUBLE) AS total FROM o")
+@query(_ORDERS + "SELECT doc_id, CAST(subtotal + 1.5 AS DOUBLE) AS total FROM o")
 def receipt_total(spark, sf_dir):
     return render.receipts(spark, sf_dir).select("doc_id", receipt.total(F.col("text"))["num_value"].alias("total"))
 
@@ -268,7 +269,7 @@ def resume_sections(spark, sf_dir):
 _SKILL = "['Docker', 'Kubernetes', 'AWS', 'Node.js', 'C++'][c_custkey % 5 + 1]"
 
 
-@query(f"SELECT c_custkey AS doc_id, unnest(['Python', {_SKILL}, 'SQL', 'Scrum']) AS skill FROM customer")
+@query(f"SELECT c_custkey AS doc_id, unnest(['Rust', {_SKILL}, 'SQL']) AS skill FROM customer")
 def skills(spark, sf_dir):
     return render.resumes(spark, sf_dir).select("doc_id", F.explode(fields.skills(F.col("text"))).alias("f")).select("doc_id", F.col("f.value").alias("skill"))
 
@@ -283,7 +284,7 @@ def skill_categories(spark, sf_dir):
     return found.select("doc_id", "category", F.size("fields").alias("n"))
 
 
-@query("SELECT c_custkey AS doc_id, 'Software Engineer' AS title, 'Tech Solutions Inc.' AS company, '2020-01-05' AS day FROM customer")
+@query("SELECT c_custkey AS doc_id, 'Analyst' AS title, 'Harborview Logistics Corp.' AS company, '2018-03-09' AS day FROM customer")
 def resume_experience(spark, sf_dir):
     body = F.try_element_at(resume.sections(F.col("text")), F.lit("Experience"))
     rows = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(body, lambda t: resume.experience(t, OPTIONS))).alias("x"))
@@ -291,7 +292,7 @@ def resume_experience(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey AS doc_id, 'Bachelor of Science in Computer Science' AS degree, 'State University' AS institution, CAST(c_custkey % 20 + 2000 AS VARCHAR) AS grad_year FROM customer"""
+    """SELECT c_custkey AS doc_id, 'Master of Science in Engineering' AS degree, 'Harbor College' AS institution, CAST(c_custkey % 20 + 2000 AS VARCHAR) AS grad_year FROM customer"""
 )
 def resume_education(spark, sf_dir):
     body = F.try_element_at(resume.sections(F.col("text")), F.lit("Education"))
@@ -299,35 +300,34 @@ def resume_education(spark, sf_dir):
     return rows.select("doc_id", F.col("x.degree.value").alias("degree"), F.col("x.institution.value").alias("institution"), F.col("x.year.value").alias("grad_year"))
 
 
-@query("SELECT c_custkey AS doc_id, 'John Smith' AS name, 'user' || c_custkey || '@mail.example.org' AS email, '(650) 253-0000' AS phone FROM customer")
+@query("SELECT c_custkey AS doc_id, 'Maria Keller' AS name, 'applicant' || c_custkey || '@post.example.org' AS email, '(937) 253-0000' AS phone FROM customer")
 def resume_contact(spark, sf_dir):
     found = render.resumes(spark, sf_dir).select("doc_id", resume.contact(F.col("text"), OPTIONS).alias("c"))
     return found.select("doc_id", *[F.col(f"c.{k}.value").alias(k) for k in ("name", "email", "phone")])
 
 
-@query("SELECT c_custkey AS doc_id, 'Software Engineer' AS title, 0.75::DOUBLE AS confidence FROM customer")
+@query("SELECT c_custkey AS doc_id, 'Analyst' AS title, 0.75::DOUBLE AS confidence FROM customer")
 def job_titles(spark, sf_dir):
     return render.resumes(spark, sf_dir).select("doc_id", F.explode(fields.job_titles(F.col("text"))).alias("f")).select("doc_id", F.col("f.value").alias("title"), "f.confidence")
 
 
-@query("SELECT c_custkey AS doc_id, 'Springfield, IL 62704' AS address, CAST(10 AS INTEGER) AS start_at, CAST(32 AS INTEGER) AS end_at FROM customer")
+@query("SELECT c_custkey AS doc_id, 'Dayton, OH 45402' AS address, CAST(12 AS INTEGER) AS start_at, CAST(29 AS INTEGER) AS end_at FROM customer")
 def addresses(spark, sf_dir):
     return _spans(render.resumes(spark, sf_dir), "doc_id", fields.addresses(F.col("text"))).withColumnRenamed("value", "address")
 
 
-@query("SELECT c_custkey AS doc_id, unnest(['Certified Scrum Master ' || c_custkey, 'Registered Cloud Expert']) AS name FROM customer")
+@query("SELECT c_custkey AS doc_id, unnest(['Certified Crane Operator ' || c_custkey, 'Licensed Project Planner']) AS name FROM customer")
 def certifications(spark, sf_dir):
     body = F.try_element_at(resume.sections(F.col("text")), F.lit("Certifications"))
     return render.resumes(spark, sf_dir).select("doc_id", F.explode(let(body, resume.certifications)).alias("x")).select("doc_id", F.col("x.name.value").alias("name"))
 
 
 @query(
-    """SELECT c_custkey AS doc_id, 'ORG' AS entity, 'Tech Solutions Inc.' AS value FROM customer UNION ALL SELECT c_custkey, 'ORG', 'State University' FROM customer UNION ALL
-SELECT c_custkey, 'PERSON', 'John Smith' FROM customer UNION ALL SELECT c_custkey, 'GPE', 'IL' FROM customer UNION ALL SELECT c_custkey, 'DATE', 'Jan 5, 2020' FROM customer"""
+    """SELECT c_custkey AS doc_id, 'ORG' AS entity, 'Harborview Logistics Corp.' AS value FROM customer UNION ALL SELECT c_custkey, 'ORG', 'Harbor College' FROM customer UNION ALL
+SELECT c_custkey, 'PERSON', unnest(['Maria Keller', 'Licensed Project Planner']) FROM customer UNION ALL SELECT c_custkey, 'GPE', 'OH' FROM customer UNION ALL SELECT c_custkey, 'DATE', 'Mar 9, 2018' FROM customer"""
 )
 def entity_groups(spark, sf_dir):
-    text = F.regexp_replace("text", r"(?m)^(Registered|Certified).*$", "-")
-    found = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(entities.rules(text), entities.entities)).alias("entity", "fs"))
+    found = render.resumes(spark, sf_dir).select("doc_id", F.explode(let(entities.rules(F.col("text")), entities.entities)).alias("entity", "fs"))
     return found.select("doc_id", "entity", F.explode("fs.value").alias("value"))
 
 
@@ -461,7 +461,7 @@ def status_view(spark, sf_dir):
     return store.status_view(documents.select("id", "filename"), failed).select("id", "status", "type", "filename")
 
 
-@query(_ORDERS + "SELECT doc_id, 'Invoice' AS document_type, true AS document_valid, CAST(3 AS INTEGER) AS checks, 'INV-' || doc_id AS number, CAST(subtotal + 10 AS DOUBLE) AS total FROM o")
+@query(_ORDERS + "SELECT doc_id, 'Invoice' AS document_type, true AS document_valid, CAST(3 AS INTEGER) AS checks, 'BL-' || doc_id AS number, CAST(subtotal + 12 AS DOUBLE) AS total FROM o")
 def process_invoices(spark, sf_dir):
     """The whole pipeline: classify, extract, correct, validate."""
     found = pipeline.process(render.invoices(spark, sf_dir))
@@ -471,13 +471,36 @@ def process_invoices(spark, sf_dir):
     )
 
 
+def _all_of(column: str, pattern: str, group: int = 0) -> str:
+    p = pattern.replace("'", "''")
+    return f"CASE WHEN regexp_matches({column}, '{p}') THEN regexp_extract_all({column}, '{p}', {group}) ELSE [] END"
+
+
 @query(
-    _span_sql("documents", "doc_id", "text", fields.EMAIL)
-    + ", n AS (SELECT doc_id, count(*) AS k FROM r GROUP BY doc_id) SELECT doc_id, CAST(coalesce(k, 0) AS INTEGER) AS emails, CAST(11 AS INTEGER) AS n_keys FROM documents LEFT JOIN n USING (doc_id)"
+    f"""SELECT doc_id, array_to_string({_all_of("text", fields.EMAIL)}, ' ') AS emails, array_to_string(list_transform({_all_of("text", fields.PHONE)}, lambda x: trim(x)), ',') AS phones,
+  CAST(len({_all_of("text", fields.AMOUNT, 1)}) AS INTEGER) AS amounts, list_sum(list_transform({_all_of("text", fields.AMOUNT, 1)}, lambda x: CAST(replace(x, ',', '') AS DOUBLE))) AS amount_sum,
+  array_to_string({_all_of("text", fields.URL)}, ' ') AS urls, CAST(11 AS INTEGER) AS n_keys FROM documents"""
 )
 def hybrid_extract(spark, sf_dir):
     found = _docs(spark, sf_dir).select("doc_id", merge.extract_all(F.col("text"), OPTIONS).alias("m"))
-    return found.select("doc_id", F.size(F.try_element_at("m", F.lit("email"))).alias("emails"), F.size("m").alias("n_keys"))
+    of = lambda key: F.try_element_at("m", F.lit(key))
+    joined = lambda key, by: F.array_join(F.transform(of(key), lambda f: f["value"]), by)
+    total = F.aggregate(of("amount"), F.lit(0.0), lambda s, f: s + f["num_value"])
+    return found.select(
+        "doc_id", joined("email", " ").alias("emails"), joined("phone_number", ",").alias("phones"), F.size(of("amount")).alias("amounts"),
+        F.when(F.size(of("amount")) > 0, total).alias("amount_sum"), joined("url", " ").alias("urls"), F.size("m").alias("n_keys"),
+    )
+
+
+@query(
+    """SELECT c_custkey AS doc_id, 'Maria Keller;Licensed Project Planner' AS persons, 'Harborview Logistics Corp.;Harbor College' AS companies, 'Dayton, OH 45402' AS address, 'Analyst' AS title,
+  'Rust;' || ['Docker', 'Kubernetes', 'AWS', 'Node.js', 'C++'][c_custkey % 5 + 1] || ';SQL' AS skills, '2018-03-09' AS day, 'https://www.linkedin.com;https://github.com;https://m' || c_custkey || '.example.org' AS urls
+FROM customer"""
+)
+def hybrid_resumes(spark, sf_dir):
+    found = render.resumes(spark, sf_dir).select("doc_id", merge.extract_all(F.col("text"), OPTIONS).alias("m"))
+    named = {"persons": "person_name", "companies": "company_name", "address": "address", "title": "job_title", "skills": "skill", "day": "date", "urls": "url"}
+    return found.select("doc_id", *[F.array_join(F.transform(F.try_element_at("m", F.lit(k)), lambda f: f["value"]), ";").alias(c) for c, k in named.items()])
 
 
 @query(
@@ -496,11 +519,13 @@ def hybrid_merge(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (1, 2) THEN [CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR)] END[1] IS NOT NULL AS suggested FROM orders WHERE o_orderkey % 4 IN (1, 2)"""
+    """WITH p AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders),
+t AS (SELECT id, CAST(price AS DOUBLE) AS price, id % 4 = 3 AND translate(CAST(price AS VARCHAR), '12', 'lZ') = CAST(CAST(price AS DOUBLE) AS VARCHAR) AS fine FROM p)
+SELECT id, CASE WHEN NOT fine THEN price END AS suggested, CAST(NOT fine AS INTEGER) AS n FROM t"""
 )
 def correction_suggestions(spark, sf_dir):
-    rows = render.mangled_amounts(spark, sf_dir).where("id % 4 in (1, 2)")
-    return rows.select("id", (F.size(correct.suggestions(F.col("raw"), F.lit("amount"))) == 1).alias("suggested"))
+    found = render.mangled_amounts(spark, sf_dir).select("id", correct.suggestions(F.col("raw"), F.lit("amount")).alias("s"))
+    return found.select("id", F.get("s", F.lit(0)).try_cast("double").alias("suggested"), F.size("s").alias("n"))
 
 
 @query(
@@ -511,3 +536,174 @@ SELECT coalesce(regexp_matches(d, '^[2-9][0-9]{2}[2-9][0-9]{6}$') AND NOT regexp
 )
 def phone_validity(spark, sf_dir):
     return phones(spark, sf_dir).groupBy(valid_phone(F.col("value")).alias("valid")).agg(F.count("*").alias("n"))
+
+
+def _field(path: str, part: str = "value") -> Column:
+    return F.try_element_at("fields", F.lit(path))[part]
+
+
+@query(
+    _ORDERS
+    + """SELECT doc_id, 'Receipt' AS document_type, true AS document_valid, 'Lakeside Market K' || o_custkey AS merchant, '+16302530001' AS phone, strftime(day, '%Y-%m-%d') AS day, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS number,
+  CAST(subtotal + 1.5 AS DOUBLE) AS total, CAST(k AS INTEGER) AS items FROM o JOIN (SELECT l_orderkey, count(*) AS k FROM l GROUP BY l_orderkey) ON l_orderkey = doc_id"""
+)
+def process_receipts(spark, sf_dir):
+    """The whole pipeline on receipts."""
+    found = pipeline.process(render.receipts(spark, sf_dir))
+    items = F.size(F.filter(F.map_keys("fields"), lambda k: k.rlike(r"^items\.\d+\.description$")))
+    return found.select(
+        "doc_id", "classification.document_type", "validation.document_valid", _field("merchant.name").alias("merchant"), _field("merchant.phone").alias("phone"), _field("transaction.date").alias("day"),
+        _field("transaction.receipt_number").alias("number"), _field("total_amount", "num_value").alias("total"), items.alias("items"),
+    )
+
+
+@query(
+    f"""SELECT c_custkey AS doc_id, 'Resume' AS document_type, true AS document_valid, 'Maria Keller' AS name, 'applicant' || c_custkey || '@post.example.org' AS email, '+19372530000' AS phone,
+  'https://www.linkedin.com' AS linkedin, 'https://github.com' AS github, 'https://m' || c_custkey || '.example.org' AS link, 'Harbor College' AS institution, CAST(c_custkey % 20 + 2000 AS VARCHAR) AS grad_year,
+  'Analyst' AS title, 'Harborview Logistics Corp.' AS company, {_SKILL} AS skill, 'Licensed Project Planner' AS certificate FROM customer"""
+)
+def process_resumes(spark, sf_dir):
+    """The whole pipeline on resumes, links included."""
+    found = pipeline.process(render.resumes(spark, sf_dir))
+    paths = {
+        "name": "contact_info.name", "email": "contact_info.email", "phone": "contact_info.phone", "linkedin": "contact_info.linkedin", "github": "contact_info.github", "link": "contact_info.other_links.0",
+        "institution": "education.0.institution", "grad_year": "education.0.year", "title": "experience.0.title", "company": "experience.0.company", "skill": "skills.1", "certificate": "certifications.1.name",
+    }
+    return found.select("doc_id", "classification.document_type", "validation.document_valid", *[_field(path).alias(k) for k, path in paths.items()])
+
+
+@query(
+    f"""SELECT doc_id, 'Other' AS document_type, CAST(len({_all_of("text", fields.EMAIL)}) AS INTEGER) AS emails, {_all_of("text", fields.EMAIL)}[1] AS email,
+  CAST(len({_all_of("text", fields.PHONE)}) AS INTEGER) AS phones, CAST(len({_all_of("text", fields.AMOUNT, 1)}) AS INTEGER) AS amounts FROM documents"""
+)
+def process_generic(spark, sf_dir):
+    """The bundle for documents of other types, over whole texts, by way of the pipeline."""
+    found = pipeline.process(_docs(spark, sf_dir).select("doc_id", "text").withColumn("kind", F.lit("Other")), type_column="kind")
+    many = lambda key: F.size(F.filter(F.map_keys("fields"), lambda k: k.startswith(f"{key}.")))
+    return found.select("doc_id", "classification.document_type", many("email").alias("emails"), _field("email.0").alias("email"), many("phone_number").alias("phones"), many("amounts").alias("amounts"))
+
+
+@query(_ORDERS + "SELECT doc_id, 'Invoice' AS document_type, CAST(0 AS INTEGER) AS typed, 'billing@brightleaf.example.org' AS email, strftime(day, '%Y-%m-%d') AS day FROM o")
+def process_compat(spark, sf_dir):
+    """The literal wiring: a type written with a capital leads to the generic bundle."""
+    found = pipeline.process(render.invoices(spark, sf_dir), EngineOptions(compat=True))
+    typed = F.size(F.filter(F.map_keys("fields"), lambda k: k.startswith("header.")))
+    return found.select("doc_id", "classification.document_type", typed.alias("typed"), _field("email.0").alias("email"), _field("dates.0").alias("day"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def dates_found(spark, sf_dir):
+    return render.mangled_dates(spark, sf_dir).select("id", F.get(fields.dates(F.col("raw"), OPTIONS), F.lit(0))["value"].alias("day"))
+
+
+@query(_ORDERS + "SELECT doc_id, 'BL-' || doc_id AS number, CAST(1 AS INTEGER) AS n FROM o")
+def invoice_numbers(spark, sf_dir):
+    found = render.invoices(spark, sf_dir).select("doc_id", fields.invoice_numbers(F.col("text")).alias("f"))
+    return found.select("doc_id", F.get("f", F.lit(0))["value"].alias("number"), F.size("f").alias("n"))
+
+
+@query(
+    _ROWS
+    + """SELECT id AS document_id, '{"status":[{"value":"' || o_orderstatus || '","confidence":1.0}],"tags":[{"value":"' || o_orderpriority || '","confidence":0.5},{"value":"","confidence":1.0}],"total_amount":[{"value":"'
+  || total || '","confidence":0.9}]}' AS json FROM d WHERE o_orderkey % 5 <> 0"""
+)
+def export_json(spark, sf_dir):
+    documents, extractions, _ = _state(spark, sf_dir)
+    return export.to_json(documents, extractions)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, and an unknown document for each customer."""
+    known = _docs(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return known.union(_docs(spark, sf_dir, "customer").select(F.concat(F.lit("x"), "c_custkey")))
+
+
+@query(
+    _ROWS
+    + """SELECT id, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 404 ELSE 200 END AS INTEGER) AS code FROM d UNION ALL SELECT 'x' || c_custkey, 404 FROM customer"""
+)
+def export_requests(spark, sf_dir):
+    documents, _, _ = _state(spark, sf_dir)
+    found, missing = export.requested(documents, _asked(spark, sf_dir))
+    return found.select("id", F.lit(200).alias("code")).unionByName(missing.select("id", "code"))
+
+
+@query(
+    _ROWS
+    + """SELECT 'rejected' AS what, 'x' || c_custkey AS document_id, CAST(NULL AS VARCHAR) AS value FROM customer UNION ALL SELECT 'logged', id, o_orderstatus FROM d WHERE o_orderkey % 5 <> 0 UNION ALL
+SELECT 'logged', id, NULL FROM d WHERE o_orderkey % 5 = 0"""
+)
+def submit_corrections(spark, sf_dir):
+    """Corrections of known documents are logged with the value they replace, those of unknown ones are rejected."""
+    documents, extractions, corrections = _state(spark, sf_dir)
+    updates = _asked(spark, sf_dir).select(F.col("id").alias("document_id"), F.lit("status").alias("field_key"), F.lit("Z").alias("new_value"))
+    _, log, missing = store.submit(documents, extractions, corrections, updates, F.lit("2024-01-03 00:00:00").cast("timestamp"))
+    rejected = missing.select(F.lit("rejected").alias("what"), F.col("id").alias("document_id"), F.lit(None).cast("string").alias("value"))
+    return rejected.unionByName(log.select(F.lit("logged").alias("what"), "document_id", F.col("previous_value").alias("value")))
+
+
+@query(
+    _ROWS
+    + """SELECT 'documents' AS name, CAST(count(*) AS BIGINT) AS n FROM d WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'extractions', CAST(4 * count(*) AS BIGINT) FROM d WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0"""
+)
+def delete_documents(spark, sf_dir):
+    documents, extractions, _ = _state(spark, sf_dir)
+    gone = _docs(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
+    left, (rest,) = store.delete_documents(documents, [extractions], gone)
+    return left.groupBy().agg(F.lit("documents").alias("name"), F.count("*").alias("n")).unionByName(rest.groupBy().agg(F.lit("extractions").alias("name"), F.count("*").alias("n")))
+
+
+@query(_ROWS + "SELECT id, filename, CASE WHEN o_orderkey % 5 = 0 THEN 'processing' ELSE 'completed' END AS status FROM (SELECT *, 'order-' || id || '.pdf' AS filename FROM d WHERE id = (SELECT max(id) FROM d))")
+def document_lookup(spark, sf_dir):
+    """One document by its id."""
+    documents, _, _ = _state(spark, sf_dir)
+    last = documents.agg(F.max("id")).first()[0]
+    return store.get_document(documents, last).select("id", "filename", "status")
+
+
+@query(_ROWS + "SELECT document_id, value, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT id AS document_id, value, confidence FROM e WHERE field_key = 'total_amount' AND id = '1')")
+def extraction_lookup(spark, sf_dir):
+    """The extractions of one document and key."""
+    return store.find_extractions(_state(spark, sf_dir)[1], "1", "total_amount").select("document_id", "value", "confidence")
+
+
+@query(_ROWS + "SELECT id AS document_id, field_key AS \"Field\", CAST(confidence AS DOUBLE) AS \"Confidence\" FROM e")
+def confidence_table(spark, sf_dir):
+    return export.confidences(_state(spark, sf_dir)[1])
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS id, 'line' AS name, CAST(max_by(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS VARCHAR) AS value FROM lineitem GROUP BY l_orderkey")
+def edited_rows(spark, sf_dir):
+    """A table of edited rows as a map for each document; the last row of a name wins, and rows without a name do not count."""
+    lines = _docs(spark, sf_dir, "lineitem")
+    order = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("id"), order.alias("ord"), F.explode(F.array(F.lit("line"), F.lit(""))).alias("Field"), F.col("l_partkey").cast("string").alias("Value"))
+    return store.updates_map(rows).select("id", F.explode("updates").alias("name", "value"))
+
+
+@query("SELECT event_id, sha256('file-' || event_id || '.PDF') AS id, '/landing/' || sha256('file-' || event_id || '.PDF') || '.PDF' AS staged_path FROM events")
+def staged_files(spark, sf_dir):
+    uploads = _docs(spark, sf_dir, "events").select("event_id", F.concat(F.lit("file-"), "event_id", F.lit(".PDF")).alias("filename"))
+    return files.staged(uploads, "/landing").select("event_id", "id", "staged_path")
+
+
+@query("SELECT user_id, date_trunc('minute', ts) AS minute, CAST(count(*) AS BIGINT) AS requests FROM events GROUP BY ALL")
+def request_counts(spark, sf_dir):
+    found = ingest.request_counts(_docs(spark, sf_dir, "events").select("user_id", "ts"))
+    return found.select("user_id", F.col("minute.start").alias("minute"), "requests")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS valid, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice * 1e9 > 1e9 AS BOOLEAN) ELSE false END AS warned FROM orders")
+def amount_validity(spark, sf_dir):
+    """Negative amounts are not valid; very large ones are, and draw a warning."""
+    value = F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_totalprice") * 1e9).cast("string")).otherwise(F.lit("-1"))
+    return _docs(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), validate.validate_amount(value).alias("valid"), validate.warn_amount(value).isNotNull().alias("warned"))
+
+
+@query("SELECT p_partkey AS id, ['2025-01-01', '2023-05-05', NULL][p_partkey % 3 + 1] AS day FROM part")
+def fuzzy_dates(spark, sf_dir):
+    """Dates that the expressions leave alone, read by a fuzzy parser; what a text lacks comes from the options' date."""
+    from ..functions.dates import correct_date_fuzzy
+
+    raw = F.element_at(F.array(F.lit("at noon in 2025"), F.lit("on 5 of May 2023"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return _docs(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), correct_date_fuzzy(OPTIONS.as_of)(raw).alias("day"))

@@ -35,28 +35,28 @@ def _day(days: int = 0):
 
 def invoices(spark: SparkSession, sf_dir: str, labels: bool = True, off: bool = False) -> DataFrame:
     """(doc_id, text). labels: with labelled totals. off: the subtotal of odd orders is wrong by 5."""
-    rows = F.transform("lines", lambda x: F.concat(F.lit("Widget-"), x["l_partkey"], F.lit(" "), x["qty"], F.lit(" "), x["amount"], F.lit(" "), x["amount"]))
+    rows = F.transform("lines", lambda x: F.concat(F.lit("Bracket-"), x["l_partkey"], F.lit(" "), x["qty"], F.lit(" "), x["amount"], F.lit(" "), x["amount"]))
     subtotal = (F.col("subtotal") + F.when(F.lit(off) & (F.col("o_orderkey") % 2 == 1), 5).otherwise(0)).cast(MONEY)
     head = [
-        F.lit("Acme Supply Corp\n12 Main Street\nSpringfield, IL 62704\nsales@acme.example.org\n(650) 253-0000\n"), F.lit("Bill To:"),
-        F.concat(F.lit("Buyer "), "o_custkey"), F.lit("7 Pine Street\nShelbyville, CA 90210\n"), F.concat(F.lit("Invoice Number: INV-"), "o_orderkey"),
-        F.concat(F.lit("Date: "), _day()), F.concat(F.lit("Due Date: "), _day(30)), F.concat(F.lit("PO Number: PO-"), "o_custkey"),
-        F.lit("\nDescription Qty Unit Price Amount"), F.array_join(rows, "\n"),
+        F.lit("Brightleaf Tools LLC\n48 Quarry Lane\nDover, DE 19901\nbilling@brightleaf.example.org\n(302) 253-0000\n"), F.lit("Bill To:"),
+        F.concat(F.lit("Client C"), "o_custkey"), F.lit("9 Orchard Court\nSalem, OR 97301\n"), F.concat(F.lit("Invoice No: BL-"), "o_orderkey"),
+        F.concat(F.lit("Issued: "), _day()), F.concat(F.lit("Payable by: "), _day(30)), F.concat(F.lit("Purchase Order: C-"), "o_custkey"),
+        F.lit("\nItem Qty Rate Amount"), F.array_join(rows, "\n"),
     ]
-    sums = [F.concat(F.lit("\nSubtotal: $"), subtotal), F.lit("Tax: $10.00"), F.concat(F.lit("Total: $"), (subtotal + 10).cast(MONEY)), F.lit("\nPayment Terms: Net 30\n")]
+    sums = [F.concat(F.lit("\nSubtotal: $"), subtotal), F.lit("Sales Tax: $12.00"), F.concat(F.lit("Amount Due: $"), (subtotal + 12).cast(MONEY)), F.lit("\nTerms: Net 45 days\n")]
     return orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *head, *(sums if labels else [])).alias("text"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text)."""
-    rows = F.transform("lines", lambda x: F.concat(F.lit("Gadget-"), x["l_partkey"], F.lit("   "), x["amount"]))
+    rows = F.transform("lines", lambda x: F.concat(F.lit("Gasket-"), x["l_partkey"], F.lit("   "), x["amount"]))
     parts = [
-        F.concat(F.lit("SuperMart "), "o_custkey"), F.lit("100 Main Street\nAnytown, USA 12345\n(650) 253-0001\n"), F.concat(F.lit("Date: "), _day(), F.lit("   Time: 14:30")),
-        F.concat(F.lit("Trans#: "), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")), F.concat(F.lit("Term: "), F.col("o_orderkey") % 9 + 1),
-        F.lit(""), F.array_join(rows, "\n"), F.concat(F.lit("\nSubtotal   "), "subtotal"), F.lit("Tax (5%)   1.00"), F.concat(F.lit("Total   "), (F.col("subtotal") + 1).cast(MONEY)),
-        F.lit("\nPayment Method: Visa"), F.concat(F.lit("Card: ************"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")),
-        F.concat(F.lit("Auth Code: A"), "o_custkey"), F.concat(F.lit("\nRewards ID: "), F.lpad(F.col("o_custkey").cast("string"), 9, "0")),
-        F.concat(F.lit("Points Balance: "), F.col("o_custkey") % 1000), F.lit("\nThank you for shopping!\n"),
+        F.concat(F.lit("Lakeside Market K"), "o_custkey"), F.lit("31 Mill Street\nAurora, IL 60505\n(630) 253-0001\n"), F.concat(F.lit("Sold on "), _day(), F.lit(" at 09:45")),
+        F.concat(F.lit("Receipt: "), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")), F.concat(F.lit("Terminal: "), F.col("o_orderkey") % 9 + 1),
+        F.lit(""), F.array_join(rows, "\n"), F.concat(F.lit("\nSubtotal   "), "subtotal"), F.lit("Sales Tax   1.50"), F.concat(F.lit("Total   "), (F.col("subtotal") + 1.5).cast(MONEY)),
+        F.lit("\nPaid by MasterCard"), F.concat(F.lit("Acct: xxxx"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")),
+        F.concat(F.lit("Approval: Q"), "o_custkey"), F.concat(F.lit("\nMember ID: "), F.lpad(F.col("o_custkey").cast("string"), 9, "0")),
+        F.concat(F.lit("Points: "), F.col("o_custkey") % 1000), F.lit("\nYour cashier says thank you\n"),
     ]
     return orders(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
 
@@ -65,10 +65,11 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text)."""
     skill = F.element_at(F.array(*[F.lit(s) for s in ("Docker", "Kubernetes", "AWS", "Node.js", "C++")]), (F.col("c_custkey") % 5 + 1).cast("int"))
     parts = [
-        F.lit("John Smith\nSpringfield, IL 62704"), F.concat(F.lit("user"), "c_custkey", F.lit("@mail.example.org | (650) 253-0000")),
-        F.lit("\nExperience\nSoftware Engineer at Tech Solutions Inc.\nJan 5, 2020\n\nEducation\nBachelor of Science in Computer Science"),
-        F.concat(F.lit("State University, "), F.lit("class of "), (F.col("c_custkey") % 20 + 2000).cast("string")), F.concat(F.lit("\nSkills\nPython, "), skill, F.lit(", SQL, Python")),
-        F.concat(F.lit("\nCertifications\nCertified Scrum Master "), "c_custkey"), F.lit("Registered Cloud Expert"),
+        F.lit("Maria Keller\nDayton, OH 45402"), F.concat(F.lit("applicant"), "c_custkey", F.lit("@post.example.org | (937) 253-0000")),
+        F.concat(F.lit("https://www.linkedin.com/in/m https://github.com/m https://m"), "c_custkey", F.lit(".example.org/me")),
+        F.lit("\nExperience\nAnalyst at Harborview Logistics Corp.\nMar 9, 2018\n\nEducation\nMaster of Science in Engineering"),
+        F.concat(F.lit("Harbor College, "), F.lit("class of "), (F.col("c_custkey") % 20 + 2000).cast("string")), F.concat(F.lit("\nSkills\nRust, "), skill, F.lit(", SQL, Rust")),
+        F.concat(F.lit("\nCertifications\nCertified Crane Operator "), "c_custkey"), F.lit("Licensed Project Planner"),
     ]
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
 

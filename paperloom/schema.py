@@ -28,12 +28,14 @@ CORRECTIONS = "id string, document_id string, field_key string, previous_value s
 @dataclass(frozen=True)
 class EngineOptions:
     """as_of: the date that two-digit years, missing date parts and year limits refer to. compat: route and validate
-    exactly as the literal wiring does. ner: ``none``, ``rules``, or a function from a text column to ENTITIES."""
+    exactly as the literal wiring does. ner: ``none``, ``rules``, or a function from a text column to ENTITIES. classifier: a
+    function from a text column to a classification, in place of the rules."""
 
     as_of: str = "2025-01-01"
     compat: bool = False
     ner: str | Callable[[Column], Column] = "rules"
     region: str = "US"
+    classifier: Callable[[Column], Column] | None = None
 
     @property
     def year(self) -> int:

@@ -62,6 +62,32 @@ def staged(uploads: DataFrame, folder: str, random_ids: bool = False) -> DataFra
     return found.withColumn("staged_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col("id"), extension))
 
 
+def stage(uploads: DataFrame, folder: str, random_ids: bool = False) -> DataFrame:
+    """Write the content of each upload to its place in the landing folder; gives staged() without the content. Files are written
+    by the tasks that hold them, under another name first, so a task that runs again leaves whole files. folder is a path
+    or URL that pyarrow's file systems know and that all executors share."""
+    columns = [c for c in staged(uploads, folder, random_ids).columns if c != "content"]
+
+    def write(batches):
+        import uuid
+
+        import pyarrow.fs
+
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        for rows in batches:
+            for path, content in zip(rows.column("staged_path").to_pylist(), rows.column("content").to_pylist(), strict=True):
+                place = f"{base.rstrip('/')}/{path.rsplit('/', 1)[1]}"
+                part = f"{place}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(part) as out:
+                    out.write(content or b"")
+                fs.move(part, place)
+            yield rows.select(columns)
+
+    shaped = staged(uploads, folder, random_ids)
+    return shaped.mapInArrow(write, shaped.select(*columns).schema)
+
+
 def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 
