@@ -133,7 +133,6 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, block_tokens: int) ->
                 yield from give()
             docs.append((doc_id, ids))
             held += len(ids)
-    code.forget()
     if docs:
         yield from give()
     release()

@@ -162,7 +162,6 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         yield batch()
     for pieces in packer.finish():
         give(pieces)
-    code.forget()
     yield batch()
     release()
 

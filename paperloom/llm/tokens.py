@@ -1,13 +1,8 @@
-"""Token ids of whole texts by a public byte-level BPE, memoised by chunk.
-
-The tokenizer splits a text into pre-tokens and merges each on its own, so the ids of a pre-token never depend
-on its neighbours. Texts are cut at spaces, and a chunk's ids are remembered; a chunk met for the first time is
-cut into pre-tokens, which are remembered too. A text in which a space stands between or behind white space is
-encoded in one go, because there a pre-token may span chunks. A memo keeps what it met last and what it met before
-that, each up to a bound, so memory does not grow with the data.
+"""Token ids of whole texts by a public byte-level BPE.
 
 The added tokens of the tokenizer's file are found first, wherever their text occurs, and have ids of their own; what
-stands between them is encoded piece by piece, as the tokenizer does by default.
+stands between them is cut into pre-tokens and merged, as the tokenizer does by default. Nothing is remembered from text to
+text, so memory is that of the vocabulary and of one text.
 """
 
 from __future__ import annotations
@@ -24,32 +19,12 @@ import tiktoken
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
-_SPANNING = re.compile(r"\s \s|\s $")
-_PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?[^\s\w]+|\s+(?!\S)|\s+")
-
-
-class _Memo(dict):
-    def __init__(self, make, bound: int):
-        super().__init__()
-        self.make, self.bound, self.before = make, bound, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.bound:
-            self.before = dict(self)
-            self.clear()
-        value = self.before.get(key)
-        value = self[key] = self.make(key) if value is None else value
-        return value
-
-    def forget(self) -> None:
-        self.before = {}
-        self.clear()
 
 
 class Encoder:
     """ids(text): the text's ids as little-endian unsigned 32-bit bytes; null counts as empty."""
 
-    def __init__(self, ranks: str = RANKS, tokenizer: str = TOKENIZER, bound: int = 200_000):
+    def __init__(self, ranks: str = RANKS, tokenizer: str = TOKENIZER):
         with open(public_tokenizers.path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -59,24 +34,11 @@ class Encoder:
             raise ValueError("added tokens that look at their neighbours are not supported")
         self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
         longest = sorted(self.added, key=lambda t: (-len(t), t))
-        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if added else None
-        self.pieces = _Memo(self._whole, bound)
-        self.chunks = _Memo(self._chunk, bound)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split
 
-    def _whole(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        spaced = " " + chunk
-        if chunk.isascii() and not any(c.isdigit() or c == "_" for c in chunk):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(spaced)))
-        return self._whole(spaced)
-
-    def forget(self) -> None:
-        """Empty the memos, so that a worker that waits for its next task holds no memory for them."""
-        self.pieces.forget()
-        self.chunks.forget()
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -84,12 +46,6 @@ class Encoder:
             return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.split(text))
         return self._plain(text)
 
-    def _plain(self, text: str) -> bytes:
-        if _SPANNING.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")  # an empty text has one empty chunk, which has no ids
-        return self._whole(first) + b"".join(map(self.chunks.__getitem__, rest))
-
 
 @functools.lru_cache(maxsize=1)
 def encoder() -> Encoder:

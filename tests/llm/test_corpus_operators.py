@@ -195,7 +195,7 @@ def reference():
 def test_tokens_equal_the_tokenizers(reference):
     from paperloom.llm.tokens import Encoder
 
-    code = Encoder(bound=50)
+    code = Encoder()
     for text in ["", "a  b   c", " x ", "tab\t y\n\n z", "it's we'll 12 1_000 ², Ⅷ é😀日本語", "a \n b", "end  ", "_a __b x_y", "<|endoftext|>   z", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> ", " <|endoftext|", "A" * 300, "word. Word, (x)!?"]:
         assert np.frombuffer(code.ids(text), dtype="<u4").tolist() == reference(text)[:-1], repr(text)
 

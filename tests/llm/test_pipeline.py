@@ -34,3 +34,20 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == ids
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), str(tmp_path)).collect()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, ids that are missing or repeat, a long text and columns with names used inside."""
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("".join(rng.choice(list("aeioulmnrst"), 5)) for _ in range(n))
+    known = [(i, text(40), "en", None, None, "x", i) for i in range(20)]
+    again = (50, text(30), "en", "s", 1, None, 1)
+    rows = [*known, again, again, (None, text(30), None, None, None, None, None), (50, text(25), "en", "s", 1, "y", 2), (51, text(20_000), "en", "s", 1, "z", 3), (52, None, None, None, None, None, None), (53, "", "en", "s", 0, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, _row long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"language_id": 25, "near_duplicates": 26, "decontamination": 27, "personal_data": 27}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == want[name], name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.where("start = 0").count() == len(rows)
