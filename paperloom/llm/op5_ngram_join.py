@@ -7,7 +7,8 @@ threshold t share the lesser of their two l(s) tokens of their prefixes at least
 often sets that are not similar meet.
 
 1. Texts with equal sets are collapsed to their smallest doc_id by a map-side minimum, so exact copies never meet again.
-   Tokens that stand in one set's prefix only are dropped, and with them all sets that can have no partner.
+   Tokens that stand in one set's prefix only are dropped, and with them all sets that can have no partner; that takes one
+   shuffle of the prefixes. Tokens whose counter says that they may be hot are dealt out for it, and kept.
 2. Similar sets are dealt into groups: a set's home are the two commonest tokens of its prefix. A home is searched in units of
    bounded size, the heads of its units' clusters once more, for up to ``LEVELS`` levels. Inside a unit a small dense
    token-group matrix bounds the overlap of a set with each token group, and only groups that can qualify are opened.
@@ -33,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions_for, portions, release, spread_join, table
+from .common import HOT_KEYS, Scratch, connected_components, partitions_for, portions, release, spread_join, table
 
 SKETCH_BITS = 22
 CHUNK_BITS = 14
@@ -48,6 +49,8 @@ LEVELS = 3
 #: Members by which a cluster of one unit meets those of other units.
 KEPT = 8
 TOKEN_GROUP = 16
+#: Parts that the sets of a token that may be hot are dealt out to.
+SALTS = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -180,6 +183,13 @@ def token_classes(rows: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def hot_class(classes: np.ndarray) -> int:
+    """The class from which on a counter may hold a HOT_KEYS-th of all tokens; at most about HOT_KEYS counters reach it."""
+    sizes = np.ldexp(1.0, np.arange(64))
+    total = float((np.bincount(classes, minlength=64)[:64] * sizes).sum()) / 2
+    return int(np.log2(max(64.0, total / HOT_KEYS))) + 1
+
+
 def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of a set in the order of all tokens."""
     size = len(shingles)
@@ -189,14 +199,17 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarra
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int, percent: int, classes) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "set_key", "prefix"]
+    names = ["doc_id", "n_shingles", "set_key", "prefix", "cold"]
+    hot = hot_class(classes.value)
     for rows in portions(batches, 1):
         sets = shingle_sets(rows.column(1).to_pylist(), n)
         keys = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets]
-        first = [prefix(s, classes.value, percent).view(np.int64) for s in sets]
+        first = [prefix(s, classes.value, percent) for s in sets]
+        cold = [int(np.count_nonzero(classes.value[t >> np.uint64(64 - SKETCH_BITS)] < hot)) for t in first]  # the hot ones come last
+        first = [t.view(np.int64) for t in first]
         ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
         flat = pa.array(np.concatenate(first) if first else np.empty(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names)
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(cold, pa.int32())], names)
     release()
 
 
@@ -426,19 +439,20 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     scratch = Scratch(spark, "op5")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     classes = spark.sparkContext.broadcast(token_classes(rows, n))
-    shape = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
+    shape = "doc_id long, n_shingles long, set_key binary, prefix array<long>, cold int"
     profile = scratch.keep(rows.mapInArrow(lambda it: _profile(it, n, percent, classes), shape), "profile")
     usable = profile.where("doc_id is not null and set_key is not null")
-    same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by("prefix", "doc_id").alias("prefix"))
+    same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by(F.struct("prefix", "cold"), "doc_id").alias("x"))
     reps = scratch.keep(same, "reps")
-    # tokens of one prefix only meet nothing
-    work = reps.select(F.posexplode("prefix").alias("p", "w"), "rep", "n").select("w", "rep", "n", (F.col("n") - F.col("p")).alias("r"))
-    tokens = scratch.keep(work.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "tokens")
-    size = int(reps.agg(F.sum(F.size("prefix"))).first()[0] or 0)
-    work = scratch.keep(spread_join(work, tokens.withColumn("weight", F.col("c")), "w", "weight", size), "play")
+    # tokens of one prefix only meet nothing; the rows of a token that may be hot are dealt out and stay
+    work = reps.select("rep", "n", "x.cold", F.posexplode("x.prefix").alias("p", "w"))
+    salt = F.when(F.col("p") >= F.col("cold"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    work = work.select("w", salt.alias("salt"), "rep", "n", (F.col("n") - F.col("p")).alias("r"))
+    work = work.withColumn("c", F.count("*").over(Window.partitionBy("w", "salt"))).where("c > 1 or salt > 0")
+    work = scratch.keep(work.select("w", "rep", "n", "r", F.when(F.col("salt") > 0, F.lit(1 << 60)).otherwise(F.col("c")).alias("c")), "play")
     links = _first_links(work, rows, scratch, n, percent)
     links = links.union(_other_links(work, links, rows, scratch, n, percent))
-    scratch.free("tokens", "play", "state")
+    scratch.free("play", "state")
     # documents of one doc_id are one node; equal sets are tied to their smallest doc_id
     twice = profile.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1")
     if not twice.isEmpty():  # a doc_id with several sets ties their classes
