@@ -103,9 +103,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = PO
 def release() -> None:
     """Give memory that a task has freed back to the system, before its worker waits for the next one."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
