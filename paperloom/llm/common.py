@@ -17,6 +17,8 @@ PORTION_BYTES = 1 << 20
 PORTION_ROWS = 1000
 #: At most so many keys count as hot and are broadcast.
 HOT_KEYS = 10_000
+#: A table of at most so many bytes on disk may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,10 @@ class Scratch:
         fs, path = _path(self.spark, self.paths[name])
         return int(fs.getContentSummary(path).getLength())
 
+    def small(self, name: str, df: DataFrame) -> DataFrame:
+        """df, columns of a kept table, marked for broadcast if the table was measured to be small; a join shuffles otherwise."""
+        return F.broadcast(df) if self.size(name) <= BROADCAST_BYTES else df
+
     def free(self, *names: str) -> None:
         for name in names:
             if name in self.paths:

@@ -364,7 +364,7 @@ def _first_links(work: DataFrame, rows: DataFrame, scratch: Scratch, n: int, per
         placed = spread_join(state, totals, "home", "docs", state.count())
         block = F.pmod(F.xxhash64("rep", F.lit(level)), "blocks")
         placed = scratch.keep(placed.select("rep", "home", "n", "blocks", F.xxhash64("home", block, F.lit(level)).alias("unit")), f"placed-{level}")
-        texts = scratch.keep(rows.withColumnRenamed("doc_id", "rep").join(placed.select("rep", "unit"), "rep").select("unit", "rep", "text"), f"texts-{level}")
+        texts = scratch.keep(rows.withColumnRenamed("doc_id", "rep").join(scratch.small(f"placed-{level}", placed.select("rep", "unit")), "rep").select("unit", "rep", "text"), f"texts-{level}")
         parts = partitions_for(texts.sparkSession, scratch.size(f"texts-{level}"), 8 << 20)
         dealt = texts.repartition(parts, "unit").sortWithinPartitions("unit")
         found = scratch.keep(dealt.mapInArrow(lambda it: _heads(it, n, percent), "a long, b long, kept boolean"), f"heads-{level}")
@@ -419,7 +419,7 @@ def _other_links(work: DataFrame, links: DataFrame, rows: DataFrame, scratch: Sc
     come = spread_join(asking.select("g", "q", "rep"), m_blocks, "g", "n_asking", asking.count())
     come = come.select("g", F.lit(True).alias("asks"), F.col("q").alias("grp"), "rep", every("m_blocks").alias("m"), one("q_blocks", "asks").alias("k"))
     units = scratch.keep(held.unionByName(come).select(F.xxhash64("g", "m", "k").alias("unit"), "asks", "grp", "rep"), "units")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(units, "rep").select("unit", "asks", "grp", "rep", "text")
+    texts = rows.withColumnRenamed("doc_id", "rep").join(scratch.small("units", units), "rep").select("unit", "asks", "grp", "rep", "text")
     texts = scratch.keep(texts, "unit-texts")
     dealt = texts.repartition(partitions_for(spark, scratch.size("unit-texts"), 8 << 20), "unit").sortWithinPartitions("unit", "asks")
     found = scratch.keep(dealt.mapInArrow(lambda it: _open(it, n, percent), "a long, b long"), "links")
