@@ -26,7 +26,7 @@ def extract_all(text: Column, options: EngineOptions = EngineOptions()) -> Colum
         "email": emails(text), "phone_number": phone_numbers(text), "date": dates(text, options), "amount": amounts(text),
         "invoice_number": invoice_numbers(text), "url": urls(text),
     }
-    found = ner.recognise(text, options)
+    found = ner.recognise(text, options, ("PERSON", "ORG"))
     keyed = lambda some: [x for k, v in some.items() for x in (F.lit(k), v.cast(FIELDS))]
     if found is None:
         whole = F.create_map(*keyed(parts))
