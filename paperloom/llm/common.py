@@ -86,6 +86,12 @@ class Scratch:
                 fs, path = _path(self.spark, self.paths.pop(name))
                 fs.delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all tables, those too that others of their name have replaced."""
+        fs, path = _path(self.spark, self.folder)
+        fs.delete(path, True)
+        self.paths.clear()
+
 
 def partitions_for(spark: SparkSession, size: int, target_bytes: int) -> int:
     """Partitions for a shuffle of a measured number of bytes; never under the session's setting."""

@@ -193,15 +193,18 @@ def find_pii(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "op3")
     scanned = scratch.keep(scan(docs, keep_text), "scan")
     mentions = contexts(scanned)
-    trusted = patterns(mentions, scratch)
+    inner = Scratch(docs.sparkSession, "op3-graph")
+    trusted = patterns(mentions, inner)
     found = mentions.where("kind is null").drop("kind").join(trusted, "context").where("array_contains(fits, kind)")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     best = found.groupBy("uid", "start", "end").agg(F.max(F.struct("score", (-order).alias("order"), "kind")).alias("b"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).cast("int") - 1
     added = best.groupBy("uid").agg(F.collect_list(F.struct("start", order.alias("order"), "end", F.col("b.kind").alias("kind"))).alias("added"))
+    added = scratch.keep(added, "added")
+    inner.clear()
     shape = "array<struct<start:bigint,order:int,end:bigint,kind:string>>"
     base = F.concat(*[_ordered(F.col(k), i) for i, k in enumerate(KINDS)])
-    joined = scanned.join(added, "uid", "left")
+    joined = scanned.join(scratch.small("added", added), "uid", "left")
     return joined.select(
         "row", F.array_sort(base).cast(shape).alias("base"), F.array_sort(F.concat(base.cast(shape), F.coalesce(F.col("added").cast(shape), F.array().cast(shape)))).alias("spans"), *KINDS
     )

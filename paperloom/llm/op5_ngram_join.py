@@ -427,29 +427,36 @@ def _other_links(work: DataFrame, links: DataFrame, rows: DataFrame, scratch: Sc
     return found
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id long, text string). percent is from 1 to 100.
 
     component_id is the smallest doc_id that links reach. A null or blank text has an empty set and its own doc_id.
     Rows that repeat a doc_id are versions of one document: their links are pooled, and each row is returned. A row
     whose doc_id is null links with nothing and has a null component_id. Other columns of docs are ignored. An empty
-    table gives no rows. Texts of any length are read whole.
+    table gives no rows. Texts of any length are read whole. The result reads tables in scratch, which a caller that gives its
+    own may clear once it has written the result.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "op5")
+    scratch = scratch or Scratch(spark, "op5")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     classes = spark.sparkContext.broadcast(token_classes(rows, n))
     shape = "doc_id long, n_shingles long, set_key binary, prefix array<long>, cold int"
-    profile = scratch.keep(rows.mapInArrow(lambda it: _profile(it, n, percent, classes), shape), "profile")
-    usable = profile.where("doc_id is not null and set_key is not null")
-    same = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by(F.struct("prefix", "cold"), "doc_id").alias("x"))
-    reps = scratch.keep(same, "reps")
+    whole = scratch.keep(rows.mapInArrow(lambda it: _profile(it, n, percent, classes), shape), "prefixes")
+    able = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
+    same = whole.where(able).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min_by(F.struct("prefix", "cold"), "doc_id").alias("x"))
+    first = scratch.keep(same, "first")
+    # the prefixes take most of the room: what is read later is kept without them
+    profile = scratch.keep(whole.drop("prefix", "cold"), "profile")
+    scratch.free("prefixes")
+    usable = profile.where(able)
     # tokens of one prefix only meet nothing; the rows of a token that may be hot are dealt out and stay
-    work = reps.select("rep", "n", "x.cold", F.posexplode("x.prefix").alias("p", "w"))
+    work = first.select("rep", "n", "x.cold", F.posexplode("x.prefix").alias("p", "w"))
     salt = F.when(F.col("p") >= F.col("cold"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int") + 1).otherwise(0)
     work = work.select("w", salt.alias("salt"), "rep", "n", (F.col("n") - F.col("p")).alias("r"))
     work = work.withColumn("c", F.count("*").over(Window.partitionBy("w", "salt"))).where("c > 1 or salt > 0")
     work = scratch.keep(work.select("w", "rep", "n", "r", F.when(F.col("salt") > 0, F.lit(1 << 60)).otherwise(F.col("c")).alias("c")), "play")
+    reps = scratch.keep(first.select("set_key", "rep", "copies"), "reps")
+    scratch.free("first")
     links = _first_links(work, rows, scratch, n, percent)
     links = links.union(_other_links(work, links, rows, scratch, n, percent))
     scratch.free("play", "state")
@@ -481,14 +488,17 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     while row in docs.columns:
         row += "_"
     numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = ngram_components(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
+    inner = Scratch(docs.sparkSession, "op5")
+    groups = ngram_components(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent, inner).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
     groups = scratch.keep(groups.where(F.col("g").isNotNull()), "groups")
+    inner.clear()
     sizes = groups.groupBy("g").agg(F.count("*").alias("w")).where("w > 1")
     members = spread_join(groups, sizes, "g", "w", groups.count())
     members = scratch.keep(members.join(numbered.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("id")), "r"), "members")
     first = members.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("m")).select(F.col("m.r").alias("r"))
-    gone = members.select("r").join(first, "r", "left_anti").withColumnRenamed("r", row)
-    return numbered.join(gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = scratch.keep(members.select("r").join(first, "r", "left_anti").withColumnRenamed("r", row), "gone")
+    scratch.free("groups", "members")
+    return numbered.join(scratch.small("gone", gone), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
